@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
@@ -101,24 +102,24 @@ def f_sf_array(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * np.maximum(f, 0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value of z."""
     return pd.Series(2 * norm_sf_array(z.abs().to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of t with ``df`` degrees of freedom, which needn't be whole."""
     return pd.Series(t_two_sided_array(t.to_numpy(), df.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_sf_array(f.to_numpy(), d1.to_numpy(), d2.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(gamma_q(df.to_numpy() / 2, x.to_numpy() / 2))
 
@@ -137,6 +138,6 @@ def hypergeom_sf_array(k: np.ndarray, total: np.ndarray, marked: np.ndarray, dra
     return np.array([one(*v) for v in zip(k, total, marked, drawn, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeom_sf(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     return pd.Series(hypergeom_sf_array(k.to_numpy(float), total.to_numpy(float), marked.to_numpy(float), drawn.to_numpy(float)))
