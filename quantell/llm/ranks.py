@@ -63,10 +63,11 @@ def merge(a: Summary, b: Summary) -> Summary:
 def ask(s: Summary, n: int, rank: np.ndarray) -> np.ndarray:
     """Positions of the tuples that answer the ranks with the least possible error."""
     _, le, lt = s
-    at = np.minimum(np.searchsorted(le, rank, "left"), len(le) - 1)
+    # An answer is off by at most max(rank - le, lt + 1 - rank); the first falls, the second rises along the summary.
+    at = np.minimum(np.searchsorted(le + lt + 1, 2 * rank, "left"), len(le) - 1)
     before = np.maximum(at - 1, 0)
-    error = np.maximum(np.maximum(rank - le[at], lt[at] + 1 - rank), 0)
-    return np.where(np.maximum(np.maximum(rank - le[before], lt[before] + 1 - rank), 0) < error, before, at)
+    off = [np.maximum(np.maximum(rank - le[i], lt[i] + 1 - rank), 0) for i in (at, before)]
+    return np.where(off[1] < off[0], before, at)
 
 
 def cut(s: Summary, n: int, size: int) -> Summary:
@@ -109,8 +110,10 @@ def rank_summaries(df: DataFrame, key: Column, values: Mapping[str, Column], siz
             c, x = code[ok], x[ok] + 0.0
             order = np.lexsort((x, c))
             c, x = c[order], x[order]
-            edge = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else []
-            for a, b in zip(edge, [*edge[1:], len(c)], strict=True):
+            new = np.ones(len(c) + 1, bool)
+            new[1:-1] = c[1:] != c[:-1]
+            edge = np.flatnonzero(new)  # where each key's values begin, and the end
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
                 out.append((keys[c[a]], name, TaskContext.get().partitionId(), b - a, cut(of_values(x[a:b]), b - a, size)))
         yield from _pack(out).to_batches()
 

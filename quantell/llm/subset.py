@@ -59,20 +59,25 @@ class Features:
 def pivoted(rows: np.ndarray, n: int) -> tuple[list[int], list[float]]:
     """The first ``n`` pivots of QR with row pivoting and their lengths; ties go to the first row. Changes ``rows``."""
     left = np.einsum("ij,ij->i", rows, rows)
+    free = np.ones(len(rows), bool)
     picked: list[int] = []
     gains: list[float] = []
-    for _ in range(min(n, len(rows))):
-        k = int(left.argmax())
-        gain = math.sqrt(max(float(left[k]), 0.0))
-        if gain < LEAST_GAIN:
+    while len(picked) < n and free.any():
+        k = int(np.where(free, left, -1).argmax())
+        gain2 = float(rows[k] @ rows[k])
+        if gain2 < 0.8 * left[k]:  # the running lengths have lost digits
+            left = np.einsum("ij,ij->i", rows, rows)
+            k = int(np.where(free, left, -1).argmax())
+            gain2 = float(left[k])
+        if gain2 < LEAST_GAIN**2:
             break
+        free[k] = False
         picked.append(k)
-        gains.append(gain)
-        q = rows[k] / np.float32(gain)
+        gains.append(math.sqrt(gain2))
+        q = rows[k] / np.float32(gains[-1])
         along = rows @ q
         rows -= along[:, None] * q
         left = np.maximum(left - along * along, 0)
-        left[k] = -1
     return picked, gains
 
 

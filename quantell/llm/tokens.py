@@ -1,7 +1,8 @@
 """Tokens: matches of the public wordpunct pattern ``\\w+|[^\\w\\s]+`` with Unicode classes.
 
 The classes are written out so that Java, RE2 and Python find the same matches: a word character is a letter, a number
-or ``_``, white space is what Unicode and Python take for it.
+or ``_``, white space is what Unicode and Python take for it. Only characters newer than the Unicode version of the
+Java at hand can differ: Java takes them for neither, so they count as punctuation.
 """
 
 from __future__ import annotations
