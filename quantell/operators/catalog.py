@@ -12,8 +12,9 @@ from quantell import experiment as ex
 from quantell.operators import expression as e
 from quantell.operators import integration_quality as iq
 from quantell.operators import neighbours as nb
-from quantell.operators import ora, quality, reduction, testing, views
+from quantell.operators import models, ora, plot_tests, quality, reduction, testing, views
 from quantell.plans import adapters as ad
+from quantell.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -744,3 +745,81 @@ def spatial_graph(spark: SparkSession, d: str) -> DataFrame:
     days = F.floor(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400).cast("double") / 5
     spots = o.select(F.col("o_orderkey").alias("cell_id"), F.col("o_custkey").cast("double").alias("x"), days.alias("y"))
     return rounded(nb.spatial_graph(spots, 2.0), "weight")
+
+
+# Models
+
+BULKS = f"{O}, bk AS (SELECT annotation, batch || '-' || condition AS sample, condition AS cond, gene_id AS gene, sum(value) AS expr FROM counts JOIN obs USING (cell_id) GROUP BY ALL)"
+
+
+def _bulk(spark: SparkSession, d: str) -> DataFrame:
+    exp = ad.orders(spark, d)
+    j = exp.layer("counts").join(exp.obs, "cell_id")
+    return j.groupBy("annotation", F.concat_ws("-", "batch", "condition").alias("sample"), F.col("condition").alias("cond"), F.col("gene_id").alias("gene")).agg(F.sum("value").alias("expr"))
+
+
+@query(f"""WITH {BULKS}, ns AS (SELECT annotation, count(DISTINCT sample) AS s FROM bk GROUP BY 1), gm AS (SELECT annotation, gene, avg(ln(expr)) AS m FROM bk GROUP BY ALL), ra AS (SELECT annotation, sample, exp(quantile_cont(ln(expr) - m, 0.5)) AS size FROM bk JOIN gm USING (annotation, gene) GROUP BY ALL)
+SELECT annotation, sample, {s6('size')} AS size FROM ra""")
+def size_factors(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(models.size_factors(_bulk(spark, d), ["annotation"]), "size")
+
+
+@query(f"""WITH {BULKS}, b AS (SELECT sample, cond, gene, sum(expr) AS expr FROM bk GROUP BY ALL), l AS (SELECT sample, cond, sum(expr) AS lib FROM b GROUP BY ALL), r AS (SELECT 10.0 / (SELECT quantile_cont(lib, 0.5) FROM l) * 1e6 AS cpm, (SELECT min(n) FROM (SELECT count(*) AS n FROM l GROUP BY cond)) AS n)
+SELECT gene FROM b JOIN l USING (sample), r GROUP BY gene, n HAVING count(*) FILTER (expr / lib * 1e6 >= cpm) >= CASE WHEN n > 10 THEN 10 + (n - 10) * 0.7 ELSE n END - 1e-14 AND sum(expr) >= 15""")
+def filter_by_expr(spark: SparkSession, d: str) -> DataFrame:
+    b = _bulk(spark, d).groupBy("sample", "cond", "gene").agg(F.sum("expr").alias("expr"))
+    return models.filter_by_expr(b, "cond")
+
+
+@query(f"""WITH {BULKS}, n AS (SELECT *, ln(1 + expr * 1e4 / sum(expr) OVER (PARTITION BY annotation, sample)) AS v FROM bk), s AS (SELECT annotation, gene, cond, count(*) AS n, avg(v) AS m, var_samp(v) AS q FROM n GROUP BY ALL)
+SELECT a.annotation AS "group", a.gene AS "GeneName", {s6('(a.m - b.m) / sqrt(((a.n - 1) * a.q + (b.n - 1) * b.q) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n))', 5)} AS statistic, {s6('log2((exp(a.m) - 1 + 1e-9) / (exp(b.m) - 1 + 1e-9))')} AS log2fc
+FROM s a JOIN s b ON a.annotation = b.annotation AND a.gene = b.gene AND a.cond = 'O' AND b.cond = 'F' WHERE a.n > 1 AND b.n > 1""")
+def cluster_ttest(spark: SparkSession, d: str) -> DataFrame:
+    t = models.cluster_ttest(_bulk(spark, d).withColumnRenamed("annotation", "group"), ctrl="F", disease="O")
+    return rounded(rounded(t, "statistic", digits=5), "log2fc").select("group", "GeneName", "statistic", "log2fc")
+
+
+@query()
+def logreg_scores(spark: SparkSession, d: str) -> DataFrame:
+    return models.logreg_scores(ad.orders(spark, d), "condition")
+
+
+@query()
+def hurdle_test(spark: SparkSession, d: str) -> DataFrame:
+    return models.hurdle_test(ad.orders(spark, d), cond_key="condition", reference="F", disease="O", covariates=["annotation"])
+
+
+@query()
+def pseudobulk_wald(spark: SparkSession, d: str) -> DataFrame:
+    return models.pseudobulk_test(ad.orders(spark, d), ctrl_cond="F", disease_cond="O", cluster_key="annotation")
+
+
+@query()
+def pseudobulk_quasi(spark: SparkSession, d: str) -> DataFrame:
+    return models.pseudobulk_test(ad.orders(spark, d), ctrl_cond="F", disease_cond="O", cluster_key="annotation", method="edger")
+
+
+@query()
+def consensus(spark: SparkSession, d: str) -> DataFrame:
+    return models.consensus(ad.orders(spark, d), ctrl_cond="F", disease_cond="O", cluster_key="annotation")
+
+
+@query()
+def plot_pvalues(spark: SparkSession, d: str) -> DataFrame:
+    o = ad.table(spark, d, "orders")
+    return plot_tests.compare_groups(o, value="o_totalprice", group="o_orderstatus", ctrl="F", groups=["O", "P"], test="t-test", category="o_orderpriority")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type, count(value) AS n, round(sum(value), 4) AS total, round(avg(value) + 1e-7, 4) AS mean FROM events GROUP BY ALL""")
+def windowed_stats(spark: SparkSession, d: str) -> DataFrame:
+    w = windows.windowed_stats(ad.table(spark, d, "events"), at="ts", keys=["event_type"], value="value", window="1 hour")
+    w = w.withColumn("mean", F.round(F.col("mean") + 1e-7, 4)).withColumn("total", F.round("total", 4)).drop("logmean")
+    return w.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+@query(f"""WITH {ad.CELLS} SELECT CAST(cell_id AS VARCHAR) AS cell_id, '[' || annotation || ']' AS color FROM cells WHERE annotation IS NOT NULL AND cell_id IN (SELECT cell_id FROM cell_scvi WHERE x_scvi IS NOT NULL AND len(x_scvi) >= 2)""")
+def embedding_colors(spark: SparkSession, d: str) -> DataFrame:
+    v = ad.table(spark, d, "cell_scvi").where("x_scvi IS NOT NULL AND size(x_scvi) >= 2").dropDuplicates(["cell_id"]).select("cell_id", F.col("x_scvi").alias("vec"))
+    exp = ex.Experiment(ad.cells(spark, d), spark.createDataFrame([], "gene_id string"), {}, {"X_scVI": v})
+    e_ = views.embedding(exp, basis="X_scVI", color="annotation").where("color IS NOT NULL")
+    return e_.select(F.col("cell_id").cast("string").alias("cell_id"), F.concat(F.lit("["), "color", F.lit("]")).alias("color"))
