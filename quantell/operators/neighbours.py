@@ -280,3 +280,87 @@ def doublet_neighbours(exp: Experiment, *, batch_key: str | None = None, layer:
     return score.join(F.broadcast(cut)).select(F.col("src").cast(kind).alias("cell_id"), "doublet_score", cls.alias("doublet_class"))  # one row is broadcast
 
 
+
+
+class Lists:
+    """Centres of an inverted list index and the size of its vectors."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        d = (x**2).sum(1)[:, None] + (self.centres**2).sum(1)[None] - 2 * x @ self.centres.T
+        n = min(n, len(self.centres))
+        top = np.argpartition(d, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
+
+
+def fit_lists(base: DataFrame, n_lists: int = 256, sample_rows: int = 50_000, rounds: int = 8, seed: int = 0) -> Lists:
+    """k-means centres, fitted on at most about ``sample_rows`` rows, a hash sample; every row is indexed by :func:`listed`."""
+    dim = _dim(base)
+    n = base.count()
+    cut = int(min(1.0, sample_rows / max(n, 1)) * (1 << 30))
+    sample = base.where(F.col("vec").isNotNull() & (F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(1 << 30)) <= cut)).select("cell_id", F.col("vec").cast("array<double>").alias("vec")).toArrow()
+    ids = np.argsort(np.array(sample.column("cell_id").to_pylist()), kind="stable")
+    x = matrix(sample.column("vec"), dim, np.float64)[ids]
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(n_lists, len(x)), replace=False)] if len(x) else np.zeros((1, dim))
+    for _ in range(rounds if len(x) else 0):
+        code = Lists(centres).nearest(x, 1)[:, 0]
+        for k in np.unique(code):
+            centres[k] = x[code == k].mean(0)
+    return Lists(centres)
+
+
+def listed(base: DataFrame, index: Lists, probes: int = 1) -> DataFrame:
+    """``cell_id, vec, list`` of every row in its nearest lists."""
+    shared = base.sparkSession.sparkContext.broadcast(index)  # n_lists centres
+    dim = index.centres.shape[1]
+    kind = dict(base.dtypes)["cell_id"]
+
+    def place(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            near = shared.value.nearest(matrix(b.column(1), dim, np.float64), probes)
+            at = np.repeat(np.arange(len(near)), near.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], ["cell_id", "vec", "list"])
+
+    rows = base.where(F.col("vec").isNotNull()).select("cell_id", F.col("vec").cast("array<double>").alias("vec"))
+    return rows.mapInArrow(place, f"cell_id {kind}, vec array<double>, list int")
+
+
+def search_lists(queries: DataFrame, base: DataFrame, index: Lists, k: int = 15, probes: int = 8, include_self: bool = False, part_rows: int = 100_000) -> DataFrame:
+    """``src, dst, dist, place``: the ``k`` nearest rows of ``base`` (see :func:`listed`) among the lists nearest to each query.
+
+    Approximate: rows of lists that aren't probed are missed. Lists of more than ``part_rows`` rows are divided by a
+    hash and searched in parts, so a list that holds a third of all rows is no task of its own.
+    """
+    dim = index.centres.shape[1]
+    kind = dict(queries.dtypes)["cell_id"]
+    parts = base.groupBy("list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    b = base.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("cell_id"), F.col("parts")).cast("int")).withColumn("side", F.lit(1))
+    q = listed(queries, index, probes).join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(0))
+    cols = ["list", "part", "side", "cell_id", "vec"]
+
+    def near(t: pa.Table) -> pa.Table:
+        side, ids, x = t.column("side").to_numpy(), t.column("cell_id").to_numpy(), matrix(t.column("vec"), dim, np.float64)
+        a, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        c = c[np.argsort(ids[c], kind="stable")]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for i in range(0, len(a) if len(c) else 0, 512):
+            rows = a[i : i + 512]
+            d2 = (x[rows] ** 2).sum(1)[:, None] + (x[c] ** 2).sum(1)[None] - 2 * x[rows] @ x[c].T
+            d = np.round(np.sqrt(np.maximum(d2, 0)), DIGITS)
+            if not include_self:
+                d[ids[rows][:, None] == ids[c][None]] = np.inf
+            top = np.argsort(d, axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(d, top, 1)
+            ok = np.isfinite(dist)
+            for o, v in zip(out, (np.repeat(ids[rows], top.shape[1]).reshape(top.shape)[ok], ids[c][top][ok], dist[ok]), strict=True):
+                o.append(v)
+        s, t2, d = (np.concatenate(o) if o else np.array([]) for o in out)
+        key = t.schema.field("cell_id").type
+        return pa.table({"src": pa.array(s).cast(key), "dst": pa.array(t2).cast(key), "dist": pa.array(d, pa.float64())})
+
+    found = q.select(*cols).union(b.select(*cols)).groupBy("list", "part").applyInArrow(near, f"src {kind}, dst {kind}, dist double")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return found.withColumn("place", place).where(F.col("place") <= k)

@@ -189,7 +189,7 @@ def read_visium(spark: SparkSession, path: str, *, counts_file: str, library_id:
     pos = raw.select("cell_id", *[F.col(c).cast("int").alias(c) for c in POSITIONS[:3]], *[F.col(c).cast("double").alias(c) for c in POSITIONS[3:]])
     obs = exp.obs.join(pos.drop("pxl_row", "pxl_col"), "cell_id", "left")
     vec = exp.obs.join(pos, "cell_id", "left").select("cell_id", F.array("pxl_row", "pxl_col").alias("vec"))
-    factors = spark.read.option("wholetext", True).text(_find(spark, f"{path}/spatial", "scalefactors_json.json")).select(F.from_json("value", "map<string,double>").alias("m")).first().m
+    factors = spark.read.text(_find(spark, f"{path}/spatial", "scalefactors_json.json"), wholetext=True).select(F.from_json("value", "map<string,double>").alias("m")).first().m
     return Experiment(obs, exp.var, exp.layers, {"spatial": vec}, {}, {"spatial": {library_id or "library": {"scalefactors": factors}}})
 
 
