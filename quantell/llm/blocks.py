@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quantell.functions.vectors import matrix
 
-#: Rows that the tree is fitted on, at most about this many (they are held by the driver).
-SAMPLE_ROWS = 60_000
+#: Rows that the tree is fitted on: a 200th of all, at least and at most about this many (they are held by the driver).
+SAMPLE_ROWS = 60_000, 1_000_000
 #: Principal axes that the tree splits on.
 AXES = 12
 #: Rows that a leaf or a salted part of a leaf is meant to hold.
@@ -113,12 +113,12 @@ def moments(vectors: DataFrame, col: str, dim: int) -> tuple[int, np.ndarray, np
     return n, mean, q / max(n, 1) - np.outer(mean, mean)
 
 
-def fit_tree(vectors: DataFrame, id_col: str, col: str, dim: int, radius: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> Tree:
+def fit_tree(vectors: DataFrame, id_col: str, col: str, dim: int, radius: float, leaf_rows: int = LEAF_ROWS, sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Tree:
     """A tree over the principal axes of all rows, its splits taken at the medians of a hash sample."""
     n, mean, cov = moments(vectors, col, dim)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, : min(AXES, dim)]
     tree = Tree(mean, axes)
-    rate = min(1.0, sample_rows / max(n, 1))
+    rate = min(1.0, min(max(n / 200, sample_rows[0]), sample_rows[1]) / max(n, 1))
     cut = int(rate * (1 << 30))
     sample = vectors.where(F.pmod(F.xxhash64(id_col, F.lit("tree")), F.lit(1 << 30)) < cut).select(col)
 
@@ -146,7 +146,7 @@ def fit_tree(vectors: DataFrame, id_col: str, col: str, dim: int, radius: float,
                         values.append(v)
                     tree.low[node], tree.high[node] = split(rows[left]), split(rows[~left])
                     return node
-        tree.parts.append(max(1, int(np.ceil(len(rows) / rate / (2 * size)))))
+        tree.parts.append(max(1, int(np.ceil(len(rows) / rate / (2 * leaf_rows)))))
         return -len(tree.parts)
 
     tree.root = split(np.arange(len(y)))

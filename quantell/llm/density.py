@@ -128,21 +128,15 @@ def _homes_first(t: pa.Table) -> pa.Table:
     return t.take(pa.array(np.lexsort((t.column("id").to_numpy(), ~t.column("at_home").to_numpy().astype(bool)))))
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Marks links that join two trees of ``parent``, joining them: of any number of links at most n - 1 remain."""
-    used = np.zeros(len(a), bool)
-    for k in range(len(a)):
-        u, v = int(a[k]), int(b[k])
-        while parent[u] != u:
-            parent[u] = parent[parent[u]]
-            u = int(parent[u])
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = int(parent[v])
-        if u != v:
-            parent[max(u, v)] = min(u, v)
-            used[k] = True
-    return used
+def _join_trees(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of ``parent`` that the links touch; afterwards every node points to the least of its tree."""
+    while len(a):
+        u, v = parent[a], parent[b]
+        apart = u != v
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
 
 
 def _densities(routed: DataFrame, dim: int, cutoff: float, mean: np.ndarray) -> DataFrame:
@@ -162,8 +156,9 @@ def _densities(routed: DataFrame, dim: int, cutoff: float, mean: np.ndarray) ->
 
 
 def _links(routed: DataFrame, dim: int, cutoff: float, mean: np.ndarray) -> DataFrame:
-    """``(kind, id, other, d)``. 0: the nearest denser lead seen in this leaf. 1: links within the cutoff, as a forest.
-    2: balls that reach each other though their leads are farther apart than the cutoff, unless linked in this leaf."""
+    """``(kind, id, other, d)``. 0: the nearest denser lead seen in this leaf. 1: leads that are linked in this leaf, each
+    with one of its group, so fewer links than leads. 2: balls that reach each other though their leads are farther
+    apart than the cutoff, unless linked in this leaf."""
 
     def link(t: pa.Table) -> pa.Table:
         t = _homes_first(t)
@@ -171,7 +166,6 @@ def _links(routed: DataFrame, dim: int, cutoff: float, mean: np.ndarray) -> Data
         size = t.num_rows
         best_d, best = np.full(size, np.inf), np.full(size, -1, np.int64)
         parent = np.arange(size)
-        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         apart = []
         for a, b, d in _pairs(t, dim, cutoff, mean):
             near = d <= cutoff
@@ -186,16 +180,13 @@ def _links(routed: DataFrame, dim: int, cutoff: float, mean: np.ndarray) -> Data
             low, high, dd = low[first], high[first], dd[first]
             better = (dd < best_d[low]) | ((dd == best_d[low]) & (ids[high] < ids[best[low]]))
             best_d[low[better]], best[low[better]] = dd[better], high[better]
-            used = _forest(size, a, b, parent)
-            out.append((1, a[used], b[used], d[used]))
+            _join_trees(parent, a, b)
         has = np.flatnonzero(best >= 0)
-        out.append((0, has, best[has], best_d[has]))
+        below = np.flatnonzero(parent != np.arange(size))
+        out = [(0, has, best[has], best_d[has]), (1, below, parent[below], np.zeros(len(below)))]
         if apart:
             a, b, d = (np.concatenate(c) for c in zip(*apart, strict=True))
-            root = parent.copy()
-            while (root != root[root]).any():
-                root = root[root]
-            open_ = root[a] != root[b]
+            open_ = parent[a] != parent[b]
             out.append((2, a[open_], b[open_], d[open_]))
         kind = np.concatenate([np.full(len(a), k, np.int32) for k, a, _, _ in out])
         return frame(kind=kind, id=ids[np.concatenate([o[1] for o in out])], other=ids[np.concatenate([o[2] for o in out])], d=np.concatenate([o[3] for o in out]))
