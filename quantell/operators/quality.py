@@ -73,19 +73,27 @@ def filter_quantiles(obs: DataFrame, low: float | None = None, high: float | Non
 def filter_cells_genes(
     exp: Experiment, *, min_genes_in_cell: int = 300, min_cells_with_genes: int = 5, cut_mt: float = 5, min_counts: float | None = None, max_counts: float | None = None,
     min_genes: int | None = None, max_genes: int | None = None, low_quantile: float | None = None, high_quantile: float | None = None, patterns: Mapping[str, Any] = PATTERNS,
-    mt_family: str = "mt", layer: str | None = None, doublet_col: str | None = None,
+    mt_family: str = "mt", layer: str | None = None, doublet_col: str | None = None, batch_key: str | None = None,
 ) -> Experiment:
     """Cells with enough genes, then genes in enough cells, then cells by mitochondrial share, counts, genes and percentiles.
 
     Bounds on counts and genes are inclusive, the mitochondrial one and percentiles are strict; percentiles are those of
     the cells left by all other bounds. At most one kind of lower and one kind of upper bound on counts may be given.
+    With a batch each is treated as if it were alone: a gene too rare in one of them loses its values there only, and
+    percentiles are the batch's own.
     """
     if min_counts is not None and low_quantile or max_counts is not None and high_quantile:
         raise InputError("give counts or quantiles as a bound, not both")
     m = cell_metrics(exp, patterns, layer)
     exp = replace(exp, obs=m).keep(cells=m.where(F.col("n_genes_by_counts") >= min_genes_in_cell))
-    seen = exp.layer(layer).where("value <> 0").groupBy("gene_id").agg(F.count("*").alias("n"))
-    exp = exp.keep(genes=seen.where(F.col("n") >= min_cells_with_genes))
+    seen = exp.layer(layer).where("value <> 0")
+    if batch_key:
+        owner = exp.obs.select("cell_id", F.col(batch_key).alias("__batch"))
+        often = seen.join(owner, "cell_id").groupBy("__batch", "gene_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_cells_with_genes).drop("n")
+        layers = {k: v.join(owner, "cell_id").join(often, ["__batch", "gene_id"], "left_semi").drop("__batch") for k, v in exp.layers.items()}
+        exp = replace(exp, layers=layers, var=exp.var.join(often.select("gene_id").distinct(), "gene_id", "left_semi"))
+    else:
+        exp = exp.keep(genes=seen.groupBy("gene_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_cells_with_genes))
     obs = exp.obs
     if f"pct_counts_{mt_family}" in obs.columns:
         obs = obs.where(F.col(f"pct_counts_{mt_family}") < cut_mt)
@@ -94,7 +102,16 @@ def filter_cells_genes(
             obs = obs.where(F.col(col) >= lo)
         if hi is not None:
             obs = obs.where(F.col(col) <= hi)
-    obs = filter_quantiles(obs, low_quantile, high_quantile)
+    if batch_key and (low_quantile or high_quantile):
+        bounds = obs.groupBy(batch_key).agg(F.expr(f"percentile(total_counts, array({(low_quantile or 0) / 100}, {(high_quantile or 100) / 100}))").alias("__q"))
+        obs = obs.join(bounds, batch_key)
+        if low_quantile:
+            obs = obs.where(F.col("total_counts") > F.col("__q")[0])
+        if high_quantile:
+            obs = obs.where(F.col("total_counts") < F.col("__q")[1])
+        obs = obs.drop("__q")
+    else:
+        obs = filter_quantiles(obs, low_quantile, high_quantile)
     if doublet_col:
         obs = obs.where(F.col(doublet_col) == "singlet")
     return replace(exp, obs=obs).keep(cells=obs)
@@ -213,6 +230,6 @@ def doublet_scores(exp: Experiment, *, batch_key: str | None = None, layer: str
 
 
 def quality_control(exp: Experiment, *, batch_key: str | None = None, n_reads: float = 1e4, log_data: bool = True, **bounds: Any) -> tuple[Experiment, DataFrame]:
-    """The whole pipeline on raw counts: filters, history, normalisation; one plan for all batches."""
-    kept = filter_cells_genes(exp, **bounds)
+    """The whole pipeline on raw counts: filters, history, normalisation; one plan for all batches, each filtered as if alone."""
+    kept = filter_cells_genes(exp, batch_key=batch_key, **bounds)
     return log_normalize(kept, target_sum=n_reads, log_data=log_data), history([("Input", exp, ""), ("Filtered", kept, str(bounds))])

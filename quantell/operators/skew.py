@@ -8,57 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantell.functions.labels import clean_label
+from quantell.plans.shared import written
 
 #: Added before rounding, so that a mean that ends in a 5 is rounded up whatever the order of its sum.
 NUDGE = 1e-7
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[Column], share: float) -> DataFrame:
+def key_counts(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """``(k0, …, n)``: rows per key, written once. Counted map-side, so what is shuffled is a row per key and partition."""
+    named = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    return written(named.groupBy(*named.columns).agg(F.count("*").alias("n")))
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[Column], share: float, counts: DataFrame | None = None, nulls: bool = False) -> DataFrame:
     """``(k0, …, n, total, share)`` of the keys that hold at least ``share`` of all rows.
 
-    Counts are combined map-side, so what is shuffled is a row per key and partition; at most ``1/share`` keys can
-    qualify, which bounds the result whatever the input. Keys with a null part never qualify, but their rows count in
-    the total. An empty table gives an empty result.
+    At most ``1/share`` keys can qualify, which bounds the result whatever the input. Keys with a null part
+    qualify only with ``nulls``, but their rows always count in the total. An empty table gives an empty result.
     """
-    named = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    counts = named.groupBy(*named.columns).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+    counts = key_counts(df, keys) if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = F.lit(True)
-    for c in named.columns:
-        known = known & F.col(c).isNotNull()
-    return (
-        counts.where(known)
-        .join(F.broadcast(total), F.col("n") >= F.lit(share) * F.col("total"))  # one row is broadcast
-        .withColumn("share", F.col("n") / F.col("total"))
-    )
+    for i in range(0 if nulls else len(keys)):
+        known = known & F.col(f"k{i}").isNotNull()
+    return counts.where(known & (F.col("n") >= share * total)).withColumns({"total": F.lit(total), "share": F.col("n") / F.lit(float(total))})
 
 
 def salted_aggregate(
-    df: DataFrame,
-    keys: Mapping[str, Column],
-    values: Mapping[str, Column],
-    salts: int = 32,
-    heavy_share: float = 0.01,
-    heavy: DataFrame | None = None,
+    df: DataFrame, keys: Mapping[str, Column], values: Mapping[str, Column], salts: int = 32, heavy_share: float = 0.01, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Count, and per value: count, sum, sum of squares, least and greatest, of every key; two stages with salt.
 
     1. Keys holding ``heavy_share`` of the rows (at most ``1/heavy_share`` of them, hence broadcast) get one of
-       ``salts`` salts per row. The salt is a hash of the row's values, not ``rand()``, so a recomputed task sends each
-       row where the lost one did. Partials are formed by key and salt.
+       ``salts`` salts per row. The salt is a hash of the row's values and its place in its partition, not ``rand()``,
+       so a recomputed task sends each row where the lost one did. Partials are formed by key and salt.
     2. Partials are merged by key.
 
     Values that are null are left out of that value's figures only. Rows with a null key form keys of their own. The
     result has the keys, ``n`` and ``<value>_n, _sum, _sumsq, _min, _max``; other columns of ``df`` don't matter.
+    ``counts``: what :func:`key_counts` gave for the same keys, if it is at hand.
     """
     ks, vs = list(keys), list(values)
     rows = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keys.values())], *[c.alias(f"v{i}") for i, c in enumerate(values.values())])
     kcols, vcols = rows.columns[: len(ks)], rows.columns[len(ks) :]
-    if heavy is None:
-        heavy = heavy_keys(rows, [F.col(c) for c in kcols], heavy_share)
-    hot = heavy.select(*kcols, F.lit(True).alias("hot"))
+    hot = heavy_keys(df, list(keys.values()), heavy_share, counts, nulls=True).select(*[F.col(c).alias(f"hot_{c}") for c in kcols], F.lit(True).alias("hot"))
+    same = F.lit(True)
+    for c in kcols:
+        same = same & F.col(c).eqNullSafe(F.col(f"hot_{c}"))
     salt = F.pmod(F.xxhash64(*vcols, F.monotonically_increasing_id()), F.lit(salts))
-    salted = rows.join(F.broadcast(hot), kcols, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(F.lit(0)))
+    salted = rows.join(F.broadcast(hot), same, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(F.lit(0)))
     first = [F.count("*").alias("n")]
     for v in vcols:
         first += [F.count(v).alias(f"{v}_n"), F.sum(v).alias(f"{v}_sum"), F.sum(F.col(v) * F.col(v)).alias(f"{v}_sumsq"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
@@ -89,9 +87,9 @@ def cell_summaries(cells: DataFrame, dominant_share: float = 0.05, salts: int =
         "pct_counts_mt": valid(F.col("pct_counts_mt"), 100),
         "n_genes": valid(F.col("n_genes_by_counts").cast("double")),
     }
-    agg = salted_aggregate(cells, keys, values, salts)
-    total = agg.agg(F.sum("n").alias("total"))
-    out = agg.join(F.broadcast(total))  # one row is broadcast
+    counts = key_counts(cells, list(keys.values()))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = salted_aggregate(cells, keys, values, salts, counts=counts).withColumn("total", F.lit(total))
     cols = [F.col("annotation"), F.col("batch"), F.col("n").alias("n_rows"), F.round(F.col("n") / F.col("total"), 9).alias("share")]
     for v in values:
         n, s, q = F.col(f"{v}_n"), F.col(f"{v}_sum"), F.col(f"{v}_sumsq")
