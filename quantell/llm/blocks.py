@@ -22,7 +22,7 @@ SAMPLE_ROWS = 60_000, 1_000_000
 #: Principal axes that the tree splits on.
 AXES = 12
 #: Rows that a leaf or a salted part of a leaf is meant to hold.
-LEAF_ROWS = 4096
+LEAF_ROWS = 16_384
 
 
 @dataclass
