@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantell import experiment as ex
+from quantell.functions.vectors import usable
 from quantell.operators import expression as e
 from quantell.operators import integration_quality as iq
 from quantell.operators import neighbours as nb
 from quantell.operators import models, ora, plot_tests, quality, reduction, testing, views
 from quantell.plans import adapters as ad
+from quantell.plans import pipelines
+from quantell.plans.shared import written
 from quantell.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -824,3 +827,26 @@ def embedding_colors(spark: SparkSession, d: str) -> DataFrame:
     exp = ex.Experiment(ad.cells(spark, d), spark.createDataFrame([], "gene_id string"), {}, {"X_scVI": v})
     e_ = views.embedding(exp, basis="X_scVI", color="annotation").where("color IS NOT NULL")
     return e_.select(F.col("cell_id").cast("string").alias("cell_id"), F.concat(F.lit("["), "color", F.lit("]")).alias("color"))
+
+
+@query()
+def cells_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 15 nearest of all cells to every cell whose id is divisible by 50, by inverted lists."""
+    v = ad.table(spark, d, "cell_scvi").where("cell_id IS NOT NULL").where(usable(F.col("x_scvi"), 30)).groupBy("cell_id").agg(F.min("x_scvi").alias("vec"))
+    v = written(v)
+    index = nb.fit_lists(v, n_lists=64)
+    return nb.search_lists(v.where("cell_id % 50 = 0"), nb.listed(v, index), index, 15, probes=8)
+
+
+@query()
+def integration(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters after batch correction of the orders' brands."""
+    return pipelines.integrate(ad.orders(spark, d), batch_key="batch", n_top=25, n_components=10, k=10).obs.select("cell_id", "cluster")
+
+
+@query()
+def integration_scores(spark: SparkSession, d: str) -> DataFrame:
+    exp, g = _edges(spark, d, 15)
+    v = exp.obsm["X_emb"]
+    reps = {"raw": v, "harmony": written(reduction.harmony(v, exp.obs, "batch"))}
+    return iq.eval_integration(v, reps, g, exp.obs, "batch", "annotation", ("graph_connectivity", "silhouette_batch", "pcr"))
