@@ -116,7 +116,7 @@ def _task(shared: Broadcast, size: int, dim: int) -> Callable[[tuple, pa.Table],
 
 def varied_subset(
     vectors: DataFrame, labels: DataFrame, k: int, id_col: str = "cell_id", vector_col: str = "x_scvi", label_col: str = "annotation",
-    dim: int = 30, per_round: int = 64, n_features: int = 256, width: float = 8.0, label_weight: float = 2.0, seed: int = 17, max_labels: int = 10_000,
+    dim: int = 30, per_round: int = 64, n_features: int | None = None, width: float = 8.0, label_weight: float = 2.0, seed: int = 17, max_labels: int = 10_000,
 ) -> DataFrame:
     """``(cell_id, label, pick, gain)``: ``k`` rows, or all distinct ones if there are fewer, in the order of their choice.
 
@@ -125,8 +125,10 @@ def varied_subset(
     length go to the smaller id within a block. ``gain`` is what the row adds to those chosen before it in its round.
     The same rows give the same result in any order and partitioning. Exact copies of a chosen vector with the same
     label add nothing and are chosen only if nothing else is left: never, so fewer than ``k`` rows may come out.
-    The driver holds ``k`` rows and the distinct labels; more labels than ``max_labels`` raise an error.
+    The driver holds ``k`` rows and the distinct labels; more labels than ``max_labels`` raise an error. The number of
+    features bounds how many rows can be independent; by default it is half as large again as ``k``, at least 256.
     """
+    n_features = n_features or 2 * math.ceil(max(256, 1.5 * k) / 2)
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("x"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("x"), dim)).groupBy("id").agg(F.min("x").alias("x"))

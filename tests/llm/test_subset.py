@@ -40,6 +40,14 @@ def test_covers_labels_and_regions_without_crowding(spark, crowd):
     assert far(chosen) < random
 
 
+def test_more_rows_than_one_set_of_features_tells_apart(spark, crowd):
+    ids, x = crowd
+    got = varied_subset(table(spark, ids, x), labels(spark, ids), 330, n_features=400).collect()
+    assert len({r.cell_id for r in got}) == 330
+    few = varied_subset(table(spark, ids, x), labels(spark, ids), 330).collect()
+    assert len({r.cell_id for r in few}) == 330
+
+
 def test_same_for_any_order_and_partitioning(spark, crowd):
     ids, x = crowd
     a = varied_subset(table(spark, ids, x), labels(spark, ids), 30).collect()
