@@ -173,6 +173,16 @@ def select_slide(exp: Experiment, s: str, s_col: str = "sample") -> Experiment:
     return subset(exp, obs_key=s_col, obs_groups=s)
 
 
+def feature_groups(groups: Mapping[str, Sequence[str]]) -> tuple[list[str], dict[str, tuple[int, int]]]:
+    """All features of the named groups one after the other, and each group's first and last place."""
+    flat: list[str] = []
+    places: dict[str, tuple[int, int]] = {}
+    for name, features in groups.items():
+        places[name] = (len(flat), len(flat) + len(features) - 1)
+        flat += features
+    return flat, places
+
+
 def categories(df: DataFrame, col: str) -> DataFrame:
     """The levels of a column in order."""
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)

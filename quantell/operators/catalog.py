@@ -850,3 +850,40 @@ def integration_scores(spark: SparkSession, d: str) -> DataFrame:
     v = exp.obsm["X_emb"]
     reps = {"raw": v, "harmony": written(reduction.harmony(v, exp.obs, "batch"))}
     return iq.eval_integration(v, reps, g, exp.obs, "batch", "annotation", ("graph_connectivity", "silhouette_batch", "pcr"))
+
+
+@query(f"WITH {O} SELECT cell_id, gene_id, value FROM counts")
+def layer_swap(spark: SparkSession, d: str) -> DataFrame:
+    return ad.orders(spark, d).swap("counts").layer()
+
+
+@query(f"""WITH {O}, sp AS (SELECT o_orderkey AS cell_id, CAST(o_custkey AS DOUBLE) AS x, CAST(epoch(o_orderdate) // 86400 AS DOUBLE) / 5 AS y FROM orders), ed AS (SELECT a.cell_id AS src, b.cell_id AS dst, exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 8) AS w FROM sp a JOIN sp b ON abs(a.x - b.x) < 5 AND abs(a.y - b.y) < 5),
+k AS (SELECT * FROM ed WHERE w >= 0.1 OR src = dst), t AS (SELECT src, sum(w) AS t FROM k GROUP BY 1) SELECT k.src AS cell_id, gene_id, {s6('sum(w * value) / any_value(t)')} AS value FROM k JOIN counts ON counts.cell_id = k.dst JOIN t ON t.src = k.src GROUP BY ALL""")
+def smooth_kernel(spark: SparkSession, d: str) -> DataFrame:
+    o = ad.table(spark, d, "orders")
+    days = F.floor(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400).cast("double") / 5
+    spots = o.select(F.col("o_orderkey").alias("cell_id"), F.col("o_custkey").cast("double").alias("x"), days.alias("y"))
+    return rounded(nb.smooth(ad.orders(spark, d).layer("counts"), nb.spatial_graph(spots, 2.0)), "value")
+
+
+@query(f"WITH {EDGES}, w AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM un) SELECT a.src, b.dst, {s6('sum(a.w * b.w)')} AS weight FROM w a JOIN w b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY ALL")
+def diffusion_two_steps(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(nb.diffuse(_edges(spark, d)[1], 2), "weight")
+
+
+@query()
+def recluster(spark: SparkSession, d: str) -> DataFrame:
+    exp = ad.vectors(spark, d)
+    return nb.recluster(exp.obs, exp.obsm["X_emb"], "annotation").select("cell_id", "annotation", "recluster")
+
+
+@query(f"WITH {O}, {grid_sql('condition, batch', 'logc', 'exp(value) - 1', chr(39).join(['WHERE gene_id = ', 'Brand#1', '']))} SELECT condition, batch, {s6('ln(1 + t / n)')} AS expr FROM st")
+def barplot_points(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(views.barplot(ad.orders(spark, d), x_axis="condition", feature="Brand#1", batch_key="batch"), "expr")
+
+
+@query()
+def dotplot_stars(spark: SparkSession, d: str) -> DataFrame:
+    exp = ad.orders(spark, d)
+    r = testing.rank_genes_groups(exp, "condition").withColumnRenamed("group", "condition")
+    return testing.significance_grid(r, views.dotplot(exp, x_axis="condition", features=None), ["gene", "condition"])
