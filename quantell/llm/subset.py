@@ -116,7 +116,7 @@ def _task(shared: Broadcast, size: int, dim: int) -> Callable[[tuple, pa.Table],
 
 def varied_subset(
     vectors: DataFrame, labels: DataFrame, k: int, id_col: str = "cell_id", vector_col: str = "x_scvi", label_col: str = "annotation",
-    dim: int = 30, per_round: int = 64, n_features: int | None = None, width: float = 8.0, label_weight: float = 2.0, seed: int = 17, max_labels: int = 10_000,
+    dim: int = 30, per_round: int = 64, n_features: int | None = None, width: float = 4.0, label_weight: float = 2.0, seed: int = 17, max_labels: int = 10_000,
 ) -> DataFrame:
     """``(cell_id, label, pick, gain)``: ``k`` rows, or all distinct ones if there are fewer, in the order of their choice.
 
