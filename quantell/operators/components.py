@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantell.plans.shared import written
+from quantell.plans.shared import discard, written
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 64) -> DataFrame:
@@ -26,7 +26,10 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", r
         large = written(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        after = written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(pairs)
+        discard(large)
+        pairs = after
         now = tuple(pairs.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
         if now == before:
             roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

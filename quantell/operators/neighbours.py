@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from quantell.experiment import Experiment
 from quantell.functions.vectors import matrix
 from quantell.operators.expression import div
-from quantell.plans.shared import written
+from quantell.plans.shared import discard, written
 
 #: Rows of a tile of the exact search.
-TILE = 4096
+TILE = 8192
 #: Digits at which distances count as tied, so that ties are settled by id on every platform.
 DIGITS = 6
 
@@ -151,10 +151,17 @@ def merge_order(n_anchors: dict[tuple[str, str], int], sizes: dict[str, int]) ->
     return steps
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 15) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = 15, lists: int | None = None, probes: int = 8) -> DataFrame:
     """``src, dst, weight``, both directions: fuzzy connectivities, ``exp(-(d - ρ) / σ)`` with ρ the nearest distance and σ the
-    mean distance beyond it, united as ``a + b - ab``."""
-    near = knn(vectors, None, k)
+    mean distance beyond it, united as ``a + b - ab``.
+
+    Neighbours are exact, which compares all pairs; with ``lists`` they are searched in ``probes`` of that many lists.
+    """
+    if lists:
+        index = fit_lists(vectors, lists)
+        near = search_lists(vectors, listed(vectors, index), index, k, probes)
+    else:
+        near = knn(vectors, None, k)
     w = Window.partitionBy("src")
     rho = F.min("dist").over(w)
     scale = F.avg("dist").over(w) - rho
@@ -167,13 +174,15 @@ def spread_labels(graph: DataFrame, rounds: int = 10) -> DataFrame:
     """``cell_id, label``: communities by label propagation: each node takes the heaviest label among its neighbours and
     itself, ties to the smaller; nodes of alternating halves move in turn, which keeps labels from swapping for ever."""
     graph = written(graph.select("src", "dst", "weight"))
-    labels = written(graph.select(F.col("src").alias("cell_id")).union(graph.select("dst")).distinct().withColumn("label", F.col("cell_id")))
+    before = labels = written(graph.select(F.col("src").alias("cell_id")).union(graph.select("dst")).distinct().withColumn("label", F.col("cell_id")))
     for i in range(rounds):
         seen = graph.join(labels.withColumnRenamed("cell_id", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
         best = seen.groupBy("src").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "label")).alias("b")).select(F.col("src").alias("cell_id"), F.col("b.label").alias("to"))
         turn = F.pmod(F.xxhash64("cell_id"), F.lit(2)) == i % 2
         now = written(labels.join(best, "cell_id", "left").withColumn("new", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("label"))))
         moved = not now.where("new <> label").isEmpty()
+        discard(before)
+        before = now
         labels = now.select("cell_id", F.col("new").alias("label"))
         if not moved and i % 2:
             break

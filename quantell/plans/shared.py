@@ -32,7 +32,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/quantell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`written` returned, once nothing that is still to run reads it."""
+    path = getattr(df, "_written_at", None)
+    for entry in [e for e in _written if e[1] == path]:
+        _written.remove(entry)
+        _remove(*entry)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
