@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quantell.functions.vectors import lists, matrix, usable
 from quantell.llm.blocks import Tree, fit_tree, frame, homes, squared
 from quantell.operators.components import connected_components
-from quantell.plans.shared import written
+from quantell.plans.shared import discard, written
 
 #: Rows that are compared with as many others at a time.
 STEP = 2048
@@ -196,11 +196,12 @@ def _links(routed: DataFrame, dim: int, cutoff: float, mean: np.ndarray) -> Data
 
 def _peaks(pointers: DataFrame) -> DataFrame:
     """``(id, peak)`` of all leads with a pointer, by doubling; ends after the logarithm of the longest chain."""
-    now = written(pointers.select("id", F.col("other").alias("peak")))
+    before = now = written(pointers.select("id", F.col("other").alias("peak")))
     while True:
         ahead = now.select(F.col("id").alias("peak"), F.col("peak").alias("next"))
         joined = written(now.join(ahead, "peak", "left").select("id", F.coalesce("next", "peak").alias("peak"), F.col("next").isNotNull().alias("moved")))
-        now = joined.select("id", "peak")
+        discard(before)
+        before, now = joined, joined.select("id", "peak")
         if joined.where("moved").isEmpty():
             return now
 
@@ -252,6 +253,7 @@ def density_clusters(df: DataFrame, id_col: str, vector_col: str, cutoff: float,
     tree = fit_tree(rows, "id", "x", dim, cutoff)
     mean = tree.mean.astype(np.float64)
     balls = written(_balls(homes(rows, tree, "id", "x", dim), dim, cutoff, mean))
+    discard(rows)  # the balls hold the vectors from here on
     leads = balls.where("n IS NOT NULL").select("id", "x", "n", "radius")
     weights = _densities(_routed(leads, tree, dim, cutoff), dim, cutoff, mean).groupBy("id").agg(F.sum("w").alias("w"))
     dense = written(leads.join(weights, "id", "left").select("id", "x", "n", "radius", (F.col("n") + F.coalesce("w", F.lit(0))).alias("rho")))

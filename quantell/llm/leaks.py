@@ -27,7 +27,7 @@ BLOCK_WORDS = 2_000_000
 
 #: Tags that end a line or a cell part words; other tags are taken out.
 _PARTING = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|pre|hr)\b[^<>]*>|\[/?(?:quote|list|table|tr|td|img|code)\b[^\[\]]*\]", re.I)
-_TAG = re.compile(r"<[^<>]*>|\[[^\[\]]*\]")
+_TAG = re.compile(r"</?[A-Za-z!?][^<>]*>|\[[^\[\]]*\]")
 _QUOTED = re.compile(r"(?m)^[ \t]*(?:[>|:]+[ \t]*)+")
 _WORD = re.compile(r"[^\W_]+")
 

@@ -25,6 +25,7 @@ ITEMS = "item_id long, text string, doc_id int"
 def test_words():
     assert words("<p>Café [b]NAÏVE[/b]</p><br />x&amp;y&#32;z Be&shy;fore ​zero​width") == "cafe naive x y z before zerowidth".split()
     assert words("> quoted line\n> > wo<i>rd</i>s, STRASSE · straße 42a") == "quoted line words strasse strasse 42a".split()
+    assert words("if x < 8 and y > 3 <br>z") == "if x 8 and y 3 z".split()
     assert words("") == [] and words("<b></b> -- …") == []
 
 
