@@ -27,6 +27,14 @@ def raise_thresholds(before: DataFrame, wanted: DataFrame) -> DataFrame:
     return before.unionByName(wanted).where("stratum IS NOT NULL").groupBy("stratum").agg(F.max("threshold").alias("threshold"))
 
 
+def _seconds(at: str, kind: str) -> Column:
+    """A time as a number that keeps its order, whatever the session's time zone; other kinds as they are."""
+    if kind == "timestamp_ntz":
+        since = f"(`{at}` - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+        return F.expr(f"extract(DAY FROM {since}) * 86400D + extract(HOUR FROM {since}) * 3600D + extract(MINUTE FROM {since}) * 60D + CAST(extract(SECOND FROM {since}) AS DOUBLE)")
+    return F.unix_micros(at).cast("double") if kind == "timestamp" else F.col(at).cast("double")
+
+
 def stable_sample(
     df: DataFrame, key: str, at: str, strata: list[Column], rate: float, floor: int = 0, salt: str = "sample", thresholds: DataFrame | None = None,
 ) -> DataFrame:
@@ -51,8 +59,7 @@ def stable_sample(
         rows = rows.withColumn("t", base)
     chosen = rows.where("h < t").select("k", "stratum", "h", "t", F.lit(0).alias("f"))
     if floor > 0:
-        micros = F.unix_micros(F.col("at").cast("timestamp")) if dict(df.dtypes)[at].startswith("timestamp") else F.col("at")
-        early = top_n(rows.select("*", micros.cast("double").alias("m")), F.col("stratum"), F.col("k"), [F.col("m"), F.col("h")], floor)
+        early = top_n(rows.select("*", _seconds("at", dict(df.dtypes)[at]).alias("m")), F.col("stratum"), F.col("k"), [F.col("m"), F.col("h")], floor)
         early = early.select(F.col("item").cast(dict(df.dtypes)[key]).alias("k"), F.col("group").alias("stratum"))
         early = early.join(rows.where("h >= t"), ["k", "stratum"]).select("k", "stratum", "h", "t", F.lit(1).alias("f"))
         chosen = chosen.union(early)
