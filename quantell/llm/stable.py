@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantell.llm.latest import first_rows
 from quantell.llm.topn import top_n
+from quantell.plans.shared import written
 
 #: Values of the hash: the first 8 hexadecimal digits of an MD5.
 RANGE = 1 << 32
@@ -57,6 +58,7 @@ def stable_sample(
         rows = rows.join(thresholds.select("stratum", F.col("threshold").alias("t")), "stratum", "left").withColumn("t", F.greatest(base, F.coalesce("t", base)))
     else:
         rows = rows.withColumn("t", base)
+    rows = written(rows) if floor > 0 else rows  # read several times below
     chosen = rows.where("h < t").select("k", "stratum", "h", "t", F.lit(0).alias("f"))
     if floor > 0:
         early = top_n(rows.select("*", _seconds("at", dict(df.dtypes)[at]).alias("m")), F.col("stratum"), F.col("k"), [F.col("m"), F.col("h")], floor)
