@@ -877,7 +877,10 @@ def recluster(spark: SparkSession, d: str) -> DataFrame:
     return nb.recluster(exp.obs, exp.obsm["X_emb"], "annotation").select("cell_id", "annotation", "recluster")
 
 
-@query(f"WITH {O}, {grid_sql('condition, batch', 'logc', 'exp(value) - 1', chr(39).join(['WHERE gene_id = ', 'Brand#1', '']))} SELECT condition, batch, {s6('ln(1 + t / n)')} AS expr FROM st")
+ONE_BRAND = "WHERE gene_id = 'Brand#1'"
+
+
+@query(f"WITH {O}, {grid_sql('condition, batch', 'logc', 'exp(value) - 1', ONE_BRAND)} SELECT condition, batch, {s6('ln(1 + t / n)')} AS expr FROM st")
 def barplot_points(spark: SparkSession, d: str) -> DataFrame:
     return rounded(views.barplot(ad.orders(spark, d), x_axis="condition", feature="Brand#1", batch_key="batch"), "expr")
 

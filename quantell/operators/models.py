@@ -249,7 +249,8 @@ def consensus(
     """Tests of cells and of pseudobulks side by side, for every cluster and gene; 18 columns.
 
     Genes or clusters that the pseudobulk test left out stand with fold change and statistic 0 and p 1. Significance is
-    ``Yes`` or ``No``, strict; then the mean expression per condition.
+    ``Yes`` or ``No``, strict, in ``sc_signicant``, ``psc_signicant`` (spelled as users of such tables know them) and
+    ``consensus_significant``; then the mean expression per condition.
     """
     names = {"log2FoldChange": f"log2fc_{test_pseudobulk}", "stat": f"stat_{test_pseudobulk}", "pvalue": f"pval_{test_pseudobulk}", "padj": f"padj_{test_pseudobulk}"}
     sub = Experiment(exp.obs.where(F.col(condition_key).isin([ctrl_cond, disease_cond])), exp.var, exp.layers)
@@ -264,8 +265,8 @@ def consensus(
     fill: dict[str, float] = {n: 1.0 if c in ("pvalue", "padj") else 0.0 for c, n in names.items()}
     out = out.fillna(fill)
     yes: Callable = lambda c: F.when(F.col(c) < pval_cutoff, "Yes").otherwise("No")
-    out = out.withColumns({"sc_significant": yes("padj"), "psc_significant": yes(names["padj"])})
-    out = out.withColumn("consensus_significant", F.when((F.col("sc_significant") == "Yes") & (F.col("psc_significant") == "Yes"), "Yes").otherwise("No"))
+    out = out.withColumns({"sc_signicant": yes("padj"), "psc_signicant": yes(names["padj"])})
+    out = out.withColumn("consensus_significant", F.when((F.col("sc_signicant") == "Yes") & (F.col("psc_signicant") == "Yes"), "Yes").otherwise("No"))
     means = mean_expr(sub, group_by=[condition_key, cluster_key]).groupBy(F.col("gene").alias("GeneName"), cluster_key)
     means = means.agg(*[F.max(F.when(F.col(condition_key) == c, F.col("expr"))).alias(f"MeanExpr_{c}") for c in (ctrl_cond, disease_cond)])
     return out.join(means, ["GeneName", cluster_key])
