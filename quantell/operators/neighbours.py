@@ -25,23 +25,33 @@ def _dim(vectors: DataFrame, col: str = "vec") -> int:
     return r.d if r else 1
 
 
-def knn(queries: DataFrame, base: DataFrame | None = None, k: int = 15, include_self: bool = False, cosine: bool = False, tile: int = TILE) -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame | None = None, k: int = 15, include_self: bool = False, cosine: bool = False, tile: int = TILE, within: str | None = None) -> DataFrame:
     """``src, dst, dist, place``: the ``k`` nearest rows of ``base`` to each query, exact, ties by id.
 
     Both are ``(cell_id, vec)``. Rows are grouped into tiles of about ``tile`` rows by a hash; each pair of tiles is one
     matrix product that keeps ``k`` per query, and the kept ones are merged. Work is the product of both sizes, as exact
     search in high dimensions is; what is shuffled is k rows per query and tile.
+
+    ``within``: a column of both; only rows that share its value are compared, in tiles of that value, a frequent value
+    in several. Rows without a value have no neighbours.
     """
     base = queries if base is None else base
     dim = _dim(base)
-    counts = base.agg(F.count("*")).first()[0], queries.agg(F.count("*")).first()[0]
-    nb, nq = (max(1, -(-c // tile)) for c in counts)
+    if within:
+        key = [F.col(within).alias("g")]
+        sizes = base.groupBy(*key).agg(F.ceil(F.count("*") / tile).cast("int").alias("nb")).join(queries.groupBy(*key).agg(F.ceil(F.count("*") / tile).cast("int").alias("nq")), "g")
+    else:
+        key = [F.lit(0).alias("g")]
+        counts = base.agg(F.count("*")).first()[0], queries.agg(F.count("*")).first()[0]
+        nb, nq = (max(1, -(-c // tile)) for c in counts)
 
-    def tiles(df: DataFrame, n: int) -> DataFrame:
-        return df.where(F.col("vec").isNotNull()).select(F.pmod(F.xxhash64("cell_id"), F.lit(n)).alias("t"), "cell_id", F.col("vec").cast("array<double>").alias("vec"))
+    def tiles(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.where(F.col("vec").isNotNull()).select(*key, "cell_id", F.col("vec").cast("array<double>").alias("vec"))
+        df = df.join(sizes, "g") if within else df.withColumns({"nb": F.lit(nb), "nq": F.lit(nq)})
+        return df.withColumn(own, F.pmod(F.xxhash64("cell_id"), F.col(f"n{own}"))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
 
-    q = tiles(queries, nq).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("side", F.lit(0))
-    b = tiles(base, nb).withColumnRenamed("t", "u").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("side", F.lit(1))
+    q = tiles(queries, "q", "b").withColumn("side", F.lit(0))
+    b = tiles(base, "b", "q").withColumn("side", F.lit(1))
     kind = dict(queries.dtypes)["cell_id"]
 
     def near(t: pa.Table) -> pa.Table:
@@ -70,8 +80,8 @@ def knn(queries: DataFrame, base: DataFrame | None = None, k: int = 15, include_
         cols = [np.concatenate(o) if o else np.array([]) for o in outs]
         return pa.table({"src": pa.array(cols[0]).cast(t.schema.field("cell_id").type), "dst": pa.array(cols[1]).cast(t.schema.field("cell_id").type), "dist": pa.array(cols[2], pa.float64())})
 
-    cols = ["t", "u", "side", "cell_id", "vec"]
-    part = q.select(*cols).union(b.select(*cols)).groupBy("t", "u").applyInArrow(near, f"src {kind}, dst {kind}, dist double")
+    cols = ["g", "q", "b", "side", "cell_id", "vec"]
+    part = q.select(*cols).union(b.select(*cols)).groupBy("g", "q", "b").applyInArrow(near, f"src {kind}, dst {kind}, dist double")
     place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return part.withColumn("place", place).where(F.col("place") <= k)
 
@@ -197,11 +207,10 @@ def majority_labels(obs: DataFrame, cluster: str, label: str, out: str = "majori
 
 
 def recluster(obs: DataFrame, vectors: DataFrame, cluster: str, k: int = 15, out: str = "recluster") -> DataFrame:
-    """``obs`` with ``<cluster>_<i>`` labels from clustering inside each cluster: one graph without links between clusters."""
+    """``obs`` with ``<cluster>_<i>`` labels from clustering inside each cluster: one graph that links each cell to its ``k``
+    nearest of the same cluster."""
     inside = vectors.join(obs.select("cell_id", cluster), "cell_id")
-    near = knn(vectors, None, 3 * k)
-    lab = obs.select("cell_id", F.col(cluster).alias("c"))
-    same = near.join(lab.withColumnsRenamed({"cell_id": "src", "c": "c1"}), "src").join(lab.withColumnsRenamed({"cell_id": "dst", "c": "c2"}), "dst").where("c1 = c2")
+    same = knn(inside, None, k, within=cluster)
     both = same.select("src", "dst").union(same.select("dst", "src")).distinct().withColumn("weight", F.lit(1.0))
     found = spread_labels(both)
     named = inside.select("cell_id", cluster).join(found, "cell_id", "left").withColumn("label", F.coalesce("label", "cell_id"))

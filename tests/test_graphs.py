@@ -42,6 +42,30 @@ def test_exact_neighbours(spark, tile):
     assert got == want
 
 
+@pytest.mark.parametrize("tile", [4096, 13])
+def test_exact_neighbours_within_a_group(spark, tile):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(150, 4)), 1)
+    c = ["hot"] * 90 + ["rare"] * 4 + [None] * 3 + [f"g{i % 3}" for i in range(53)]
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6)
+    np.fill_diagonal(d, np.inf)
+    want = set()
+    for i in range(150):
+        own = [j for j in range(150) if c[i] is not None and c[j] == c[i] and j != i]
+        want |= {(i, j, k + 1) for k, j in enumerate(sorted(own, key=lambda j: (d[i, j], j))[:7])}
+    rows = points(spark, x).join(spark.createDataFrame(list(enumerate(c)), "cell_id long, c string"), "cell_id")
+    assert {(r.src, r.dst, r.place) for r in nb.knn(rows, None, 7, tile=tile, within="c").collect()} == want
+
+
+def test_recluster_links_cells_whose_nearest_are_of_other_clusters(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(0, 0.1, (200, 3))
+    x[:8] += 0.5 * np.arange(8)[:, None]  # eight cells of one cluster, each amid or beside many of the other
+    obs = spark.createDataFrame([(i, "few" if i < 8 else "many") for i in range(200)], "cell_id long, c string")
+    got = {r.cell_id: r.recluster for r in nb.recluster(obs, points(spark, x), "c", k=7).collect()}
+    assert len(got) == 200 and {got[i] for i in range(8)} == {"few_0"}
+
+
 def test_search_by_lists_reaches_its_recall(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(c, 1, (300, 12)) for c in rng.normal(0, 6, (10, 12))])
