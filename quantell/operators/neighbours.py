@@ -180,23 +180,37 @@ def neighbour_graph(vectors: DataFrame, k: int = 15, lists: int | None = None, p
     return one.groupBy("src", "dst").agg((1 - F.product(1 - F.col("w"))).alias("weight"))
 
 
-def spread_labels(graph: DataFrame, rounds: int = 10) -> DataFrame:
-    """``cell_id, label``: communities by label propagation: each node takes the heaviest label among its neighbours and
-    itself, ties to the smaller; nodes of alternating halves move in turn, which keeps labels from swapping for ever."""
-    graph = written(graph.select("src", "dst", "weight"))
-    before = labels = written(graph.select(F.col("src").alias("cell_id")).union(graph.select("dst")).distinct().withColumn("label", F.col("cell_id")))
+def spread_labels(graph: DataFrame, rounds: int = 1000, settle: int = 20) -> DataFrame:
+    """``cell_id, label``: communities by label propagation: each node takes the heaviest label among its neighbours, ties to
+    the smaller, until no node would take another.
+
+    Nodes of alternating halves move in turn. After ``settle`` rounds, of nodes that are neighbours and both would move
+    only one does, chosen by a hash of the round; with equal weights both ways each such round adds to the weight inside
+    labels, or keeps it and takes smaller ones, so labels can't swap for ever. Weights count in steps of 1e-9. Raises if
+    ``rounds`` don't suffice.
+    """
+    graph = written(graph.select("src", "dst", F.round(F.col("weight") * 1e9).cast("long").alias("weight")))
+    labels = written(graph.select(F.col("src").alias("cell_id")).union(graph.select("dst")).distinct().withColumn("label", F.col("cell_id")))
+    before = labels
     for i in range(rounds):
         seen = graph.join(labels.withColumnRenamed("cell_id", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        best = seen.groupBy("src").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "label")).alias("b")).select(F.col("src").alias("cell_id"), F.col("b.label").alias("to"))
-        turn = F.pmod(F.xxhash64("cell_id"), F.lit(2)) == i % 2
-        now = written(labels.join(best, "cell_id", "left").withColumn("new", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("label"))))
-        moved = not now.where("new <> label").isEmpty()
+        best = seen.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select(F.col("src").alias("cell_id"), F.col("b.label").alias("to"))
+        now = written(labels.join(best, "cell_id", "left").select("cell_id", "label", F.coalesce("to", "label").alias("to")))
         discard(before)
         before = now
-        labels = now.select("cell_id", F.col("new").alias("label"))
-        if not moved and i % 2:
-            break
-    return labels
+        restless = now.where("`to` <> label")
+        if restless.isEmpty():
+            return now.select("cell_id", "label")
+        if i < settle:
+            turn = F.pmod(F.xxhash64("cell_id"), F.lit(2)) == i % 2
+            labels = now.select("cell_id", F.when(turn, F.col("to")).otherwise(F.col("label")).alias("label"))
+        else:
+            rank = F.struct(F.xxhash64("cell_id", F.lit(i)), "cell_id")
+            ends = [restless.select(F.col("cell_id").alias(c), rank.alias(f"r_{c}")) for c in ("src", "dst")]
+            stay = graph.join(ends[0], "src").join(ends[1], "dst").where("r_src < r_dst").select(F.col("src").alias("cell_id")).distinct()
+            goes = restless.join(stay, "cell_id", "left_anti").select("cell_id", F.lit(True).alias("goes"))
+            labels = now.join(goes, "cell_id", "left").select("cell_id", F.when(F.col("goes"), F.col("to")).otherwise(F.col("label")).alias("label"))
+    raise RuntimeError(f"labels didn't settle in {rounds} rounds")
 
 
 def majority_labels(obs: DataFrame, cluster: str, label: str, out: str = "majority") -> DataFrame:

@@ -103,6 +103,21 @@ def test_labels_spread_within_groups(spark):
     assert not {lab[i] for i in range(40)} & {lab[i] for i in range(40, 80)} and len(set(lab.values())) <= 8
 
 
+def test_labels_spread_until_none_would_move(spark):
+    chain = [(i, i + 1, 1.0 + i / 100) for i in range(12)]  # labels travel one node a turn
+    pairs = [(100 + 2 * i, 101 + 2 * i, 1.0) for i in range(8)]  # some pairs lie in one half and would swap
+    links = [*chain, *pairs]
+    links += [(b, a, w) for a, b, w in links]
+    lab = {r.cell_id: r.label for r in nb.spread_labels(spark.createDataFrame(links, "src long, dst long, weight double"), settle=6).collect()}
+    weight: dict[int, dict[int, float]] = {}
+    for a, b, w in links:
+        weight.setdefault(a, {})[lab[b]] = weight.get(a, {}).get(lab[b], 0) + w
+    assert lab == {a: min(near, key=lambda v: (-near[v], v)) for a, near in weight.items()}
+    assert all(lab[a] == lab[b] for a, b, _ in pairs)
+    with pytest.raises(RuntimeError):
+        nb.spread_labels(spark.createDataFrame(links, "src long, dst long, weight double"), rounds=2)
+
+
 def test_diffusion(spark):
     ring = [(i, (i + s) % 12, 1.0) for i in range(12) for s in (1, -1)]
     g = spark.createDataFrame(ring, "src long, dst long, weight double")
