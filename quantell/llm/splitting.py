@@ -2,8 +2,10 @@
 
 Boundaries form a hierarchy: section, paragraph, line, sentence, word, character. A piece is packed greedily: it takes
 all tokens up to the last boundary of the coarsest level that lies within the limit and fills the piece to
-``least_fill``, and the next piece starts ``overlap`` tokens before its end. Where a single word of more than the limit
-has to be cut (possible only for sizes other than tokens), it is cut between characters.
+``least_fill``. Where no section, paragraph, line or sentence ends there, it takes the last of those ends that lies beyond
+the overlap, and only where there is none it is cut between words. The next piece starts ``overlap`` tokens before the end.
+Where a single word of more than the limit has to be cut (possible only for sizes other than tokens), it is cut between
+characters.
 """
 
 from __future__ import annotations
@@ -61,7 +63,6 @@ def pieces(
         whole = (k > 0) & (k < n) & (ends[np.maximum(k - 1, 0)] <= at)
         levels.append((name, np.unique(k[whole])))
     words = np.flatnonzero(ends[:-1] < starts[1:]) + 1  # white space between two units
-    levels.append(("word", words))
     out: list[tuple[int, int, int, int, str]] = []
     first, begin, shared = 0, 0, 0
     while n - first > limit:
@@ -72,6 +73,13 @@ def pieces(
             if i >= 0 and at[i] >= least:
                 end, level = int(at[i]), name
                 break
+        else:
+            early = [(int(at[i]), -k) for k, (_, at) in enumerate(levels) if (i := np.searchsorted(at, most, "right") - 1) >= 0 and at[i] > first + overlap]
+            i = np.searchsorted(words, most, "right") - 1
+            if early:
+                end, level = max(early)[0], levels[-max(early)[1]][0]
+            elif i >= 0 and words[i] >= least:
+                end, level = int(words[i]), "word"
         stop = int(starts[end])
         out.append((begin, stop, end - first, shared, level))
         first = end - overlap

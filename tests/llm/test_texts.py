@@ -184,6 +184,15 @@ def test_cuts_at_natural_boundaries():
         pieces("a", 5, 5)
 
 
+def test_early_boundaries_count_where_no_other_does():
+    run = " ".join("abcdefghijklmnopqrstuvwxyz")
+    text = f"one two. three. {run}"
+    got = pieces(text, 12, 2)
+    assert text[: got[0][1]] == "one two. three. " and got[0][4] == "sentence"
+    assert got[1][4] == "word" and got[1][2] == 12  # no end beyond the overlap
+    assert "".join(text[b + shared : e] for b, e, _, shared, _ in got) == text
+
+
 def test_split_and_rebuild(spark):
     r = random.Random(2)
     make = lambda n: "".join(r.choice(["alpha ", "beta. ", "gamma\n", "delta\n\n", "ü-", "\U0001f600 "]) for _ in range(n))
