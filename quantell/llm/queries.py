@@ -109,11 +109,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).select(F.col("id").alias("cell_id"), F.col("cluster").alias("lead_cell"), "density")
+    return _clusters(spark, sf_dir).select(F.col("id").alias("cell_id"), F.col("cluster").alias("lead_cell"))
 
 
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe_clusters(_clusters(spark, sf_dir), _annotations(spark, sf_dir), "cell_id", "annotation")
+    return describe_clusters(_clusters(spark, sf_dir), _annotations(spark, sf_dir), "cell_id", "annotation", least=1)
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +188,12 @@ _TOP = _TOP.replace(' COLLATE "binary"', "")
 _LAST = f"""last AS (SELECT * FROM (SELECT cell_id, {clean_label_sql('annotation')} AS a, {clean_label_sql('condition')} AS c, {clean_label_sql('batch')} AS b,
   total_counts, pct_counts_mt, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS r FROM cell_obs WHERE cell_id IS NOT NULL) WHERE r = 1)"""
 
+_CLUSTERS = """WITH RECURSIVE v AS (SELECT cell_id AS id, CAST(min(x_scvi) AS DOUBLE[30]) AS x FROM cell_scvi
+  WHERE cell_id IS NOT NULL AND len(x_scvi) = 30 AND list_bool_and(list_transform(x_scvi, lambda z: coalesce(isfinite(z), false))) AND list_bool_or(list_transform(x_scvi, lambda z: z <> 0)) GROUP BY 1),
+ e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON abs(a.x[1] - b.x[1]) <= 1.5 AND a.id <> b.id AND array_distance(a.x, b.x) <= 1.5),
+ r(id, root) AS (SELECT id, id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+ c AS (SELECT id, min(root) AS root FROM r GROUP BY id)"""
+
 SQL = {
     "p2_sample": f"""WITH f AS (SELECT * FROM (SELECT cell_id, loaded_at, coalesce({clean_label_sql('batch')}, '') || chr(31) || coalesce({clean_label_sql('annotation')}, '') AS stratum,
   {key_hash_sql('cell_id', 'sample')} AS h FROM cell_obs WHERE cell_id IS NOT NULL AND loaded_at IS NOT NULL)
@@ -202,6 +208,8 @@ SELECT a AS annotation, c AS condition FROM n WHERE available < greatest(min_cel
     "p5_found": f"""WITH {_LAST} SELECT b AS batch FROM last WHERE b IS NOT NULL GROUP BY b
 HAVING quantile_cont(CASE WHEN isfinite(total_counts) AND total_counts >= 0 THEN total_counts END, 0.5) < 1000
  OR quantile_cont(CASE WHEN isfinite(pct_counts_mt) AND pct_counts_mt BETWEEN 0 AND 100 THEN pct_counts_mt END, 0.95) > 15""",
+    "p6_found": f"{_CLUSTERS} SELECT root AS lead_cell, id AS cell_id FROM c WHERE root <> id",
+    "p6_members": f"{_CLUSTERS} SELECT id AS cell_id, root AS lead_cell FROM c",
     "p9_found": f"""WITH d AS (SELECT {clean_source_sql('source')} AS source, sum({token_count_sql('text')}) AS n FROM documents GROUP BY 1),
  t AS (SELECT {clean_source_sql('source')} AS source, target_share, max_repeats FROM source_targets)
 SELECT t.source FROM t LEFT JOIN d USING (source)

@@ -46,7 +46,9 @@ def test_blocks_and_facing_balls(spark, monkeypatch):
     facing = []
     real = density._facing
     monkeypatch.setattr(density, "_facing", lambda *a: facing.append(1) or real(*a))
-    for cutoff in (1.2, 1.7):
+    for cutoff, meet, face in ((1.2, 32768, 4096), (1.7, 32768, 4096), (1.7, 25, 2)):
+        monkeypatch.setattr(density, "MEET_ROWS", meet)  # leaves divided into parts
+        monkeypatch.setattr(density, "FACE_ROWS", face)  # and balls
         got = {r.id: r.cluster for r in clusters(spark, ids, x, cutoff, dim=3).collect()}
         assert got == brute(ids, x, cutoff)
     assert facing
@@ -69,6 +71,58 @@ def test_pointers_lead_to_denser_records(spark, crowd):
     assert hot.density >= 290
 
 
+def test_peaks_follow_the_densities(spark, crowd, monkeypatch):
+    """Other densities choose other peaks, which lead the same clusters."""
+    ids, x = crowd
+    rows = clusters(spark, ids, x).collect()
+    real = density._densities
+    monkeypatch.setattr(density, "_densities", lambda *a: real(*a).withColumn("w", F.pmod(F.hash("id"), F.lit(1000)).cast("long")))
+    other = {r.id: r for r in clusters(spark, ids, x).collect()}
+    assert any(other[r.id].peak != r.peak for r in rows)
+    assert all(other[r.id].cluster == r.cluster for r in rows)
+
+
+def test_labels_come_by_pointers(spark, crowd, monkeypatch):
+    """Where no pointer is followed, every ball is a cluster of its own."""
+    ids, x = crowd
+    real = density.follow
+    monkeypatch.setattr(density, "follow", lambda p: real(p.limit(0)))
+    rows = clusters(spark, ids, x).collect()
+    least = {}
+    for r in rows:
+        least[r.lead] = min(least.get(r.lead, r.id), r.id)
+    assert all(r.peak == r.lead and r.cluster == least[r.lead] for r in rows)
+    assert {r.id: r.cluster for r in rows} != brute(ids, x, 1.5)
+
+
+def test_delta_is_the_distance_to_the_nearest_denser_lead(spark, crowd):
+    ids, x = crowd
+    rows = clusters(spark, ids, x).collect()
+    at = {int(i): v.astype(float) for i, v in zip(ids, x, strict=True)}
+    leads = {r.id: r for r in rows if r.id == r.lead}
+    for r in leads.values():
+        ds = [float(np.linalg.norm(at[r.id] - at[q.id])) for q in leads.values() if (q.density, -q.id) > (r.density, -r.id)]
+        near = min(ds, default=np.inf)
+        assert r.delta == pytest.approx(near) if near <= 1.5 * density.HORIZON else r.delta is None
+        assert (r.peak == r.id) == (near > 1.5)
+
+
+def test_one_huge_vector(spark, crowd):
+    """Rounding doesn't grow with a vector far from all others."""
+    ids, x = crowd
+    far = np.vstack([x, np.full((1, 30), 1e6, np.float32), x[:300] + np.float32(4096)]).astype(np.float32)
+    more = np.concatenate([ids, [9000], np.arange(10_000, 10_300)])
+    got = {r.id: r.cluster for r in clusters(spark, more, far).collect()}
+    assert got == brute(more, far, 1.5)
+
+
+def test_touching_peaks_climb(spark):
+    """A star whose leaves are denser than its centre, and a chain, end in the densest; ties go to the smaller id."""
+    rows = [(0, 1, i, 10 + i) for i in range(1, 6)] + [(20 + i, 50 - i, 21 + i, 49 - i) for i in range(8)] + [(40, 7, 41, 7)]
+    got = {r.id: (r.peak, r.rho) for r in density.climb(spark.createDataFrame(rows, "a long, ra long, b long, rb long")).collect()}
+    assert got == {i: (5, 15) for i in range(5)} | {21 + i: (20, 50) for i in range(8)} | {41: (40, 7)}
+
+
 def test_dirt_copies_and_empty(spark, crowd):
     ids, x = crowd
     nan, inf = float("nan"), float("inf")
@@ -79,7 +133,7 @@ def test_dirt_copies_and_empty(spark, crowd):
     same = {r.cluster for r in clusters(spark, ids[:50], np.repeat(x[:1], 50, axis=0)).collect()}
     assert same == {int(min(ids[:50]))}
     empty = clusters(spark, [], [])
-    assert empty.count() == 0 and empty.columns == ["id", "cluster", "lead", "peak", "density", "dist"]
+    assert empty.count() == 0 and empty.columns == ["id", "cluster", "lead", "peak", "density", "delta", "dist"]
     assert clusters(spark, ids[:1], x[:1]).collect()[0].cluster == ids[0]
 
 
