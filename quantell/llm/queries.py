@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantell.functions.labels import clean_label, clean_label_sql, clean_source, clean_source_sql
@@ -22,7 +22,7 @@ from quantell.llm.topn import top_n
 SUBSET_SIZE = 256
 SAMPLE_RATE, SAMPLE_FLOOR = 0.1, 5
 TOP_GENES = 5
-SUMMARY_SIZE = 2000
+RANK_ERROR = 0.0005
 ALIKE = 1.5
 
 
@@ -78,12 +78,25 @@ def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_genes(spark, sf_dir).select(*cols)
 
 
-def _batch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _batch_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
     cells = _table(spark, sf_dir, "cell_obs")
     last = latest_rows(cells, "cell_id", "loaded_at", batch=clean_label(F.col("batch")), total=F.col("total_counts"), mt=F.col("pct_counts_mt"))
-    values = {"total_counts": F.when(F.col("total") >= 0, F.col("total")), "pct_counts_mt": F.when(F.col("mt").between(0, 100), F.col("mt"))}
-    merged = merge_summaries(rank_summaries(last, F.col("batch"), values, SUMMARY_SIZE), SUMMARY_SIZE)
-    return percentiles(merged, {"median": 0.5, "p95": 0.95})
+    return last, {"total_counts": F.when(F.col("total") >= 0, F.col("total")), "pct_counts_mt": F.when(F.col("mt").between(0, 100), F.col("mt"))}
+
+
+def _batch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last, values = _batch_values(spark, sf_dir)
+    return percentiles(merge_summaries(rank_summaries(last, F.col("batch"), values, RANK_ERROR), RANK_ERROR), {"median": 0.5, "p95": 0.95})
+
+
+def _per_batch(per: DataFrame) -> DataFrame:
+    """A row per batch; ``within``: whether the tracked error keeps to the ranks permitted."""
+    per = per.withColumn("permitted", F.floor(F.col("n") * RANK_ERROR)).withColumn("within", F.col("err") <= F.col("permitted"))
+    per = per.withColumns({c: F.round(c, 6) for c in ("median", "p95")})
+    cols = []
+    for m in ("total_counts", "pct_counts_mt"):
+        cols += [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for c in ("n", "permitted", "within", "median", "p95")]
+    return per.groupBy(F.col("key").alias("batch")).agg(*cols)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +106,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _batch_percentiles(spark, sf_dir)
-    cols = []
-    for m in ("total_counts", "pct_counts_mt"):
-        cols += [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for c in ("n", "err", "median", "p95")]
-    return per.groupBy(F.col("key").alias("batch")).agg(*cols)
+    return _per_batch(_batch_percentiles(spark, sf_dir))
+
+
+def p5_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two loads, even and odd days of loading, each summarised by itself and then merged."""
+    cells = _table(spark, sf_dir, "cell_obs")
+    odd = F.pmod(F.datediff(F.col("loaded_at").cast("date"), F.lit("2000-01-01").cast("date")), F.lit(2))
+    last = latest_rows(cells, "cell_id", "loaded_at", batch=clean_label(F.col("batch")), total=F.col("total_counts"), mt=F.col("pct_counts_mt"), odd=F.coalesce(odd, F.lit(0)))
+    _, values = _batch_values(spark, sf_dir)
+    days = [merge_summaries(rank_summaries(last.where(F.col("odd") == d), F.col("batch"), values, RANK_ERROR), RANK_ERROR) for d in (0, 1)]
+    return _per_batch(percentiles(merge_summaries(days[0].union(days[1]), RANK_ERROR), {"median": 0.5, "p95": 0.95}))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +193,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_subset, p2_sample, p3_found, p3_sample, p3_report, p4_found, p4_top, p5_found, p5_percentiles, p6_found, p6_members, p6_clusters, p8_found,
+        p1_subset, p2_sample, p3_found, p3_sample, p3_report, p4_found, p4_top, p5_found, p5_percentiles, p5_loads, p6_found, p6_members, p6_clusters, p8_found,
         p8_leaks, p9_found, p9_shares, p9_repeats, p9_order, p10_found, p10_pieces,
     )
 }
@@ -194,7 +213,14 @@ _CLUSTERS = """WITH RECURSIVE v AS (SELECT cell_id AS id, CAST(min(x_scvi) AS DO
  r(id, root) AS (SELECT id, id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
  c AS (SELECT id, min(root) AS root FROM r GROUP BY id)"""
 
+_VALID = {"total_counts": "isfinite(total_counts) AND total_counts >= 0", "pct_counts_mt": "isfinite(pct_counts_mt) AND pct_counts_mt BETWEEN 0 AND 100"}
+_PERCENTILES = f"""WITH {_LAST}, x AS (SELECT b, {', '.join(f'CASE WHEN {ok} THEN {m} END AS {m}' for m, ok in _VALID.items())} FROM last WHERE b IS NOT NULL)
+SELECT b AS batch, {', '.join(f"nullif(count({m}), 0) AS {m}_n, CAST(floor(nullif(count({m}), 0) * {RANK_ERROR}) AS BIGINT) AS {m}_permitted, CASE WHEN count({m}) > 0 THEN true END AS {m}_within, round(quantile_cont({m}, 0.5), 6) AS {m}_median, round(quantile_cont({m}, 0.95), 6) AS {m}_p95" for m in _VALID)}
+FROM x GROUP BY b HAVING count(total_counts) + count(pct_counts_mt) > 0"""
+
 SQL = {
+    "p5_percentiles": _PERCENTILES,
+    "p5_loads": _PERCENTILES,
     "p2_sample": f"""WITH f AS (SELECT * FROM (SELECT cell_id, loaded_at, coalesce({clean_label_sql('batch')}, '') || chr(31) || coalesce({clean_label_sql('annotation')}, '') AS stratum,
   {key_hash_sql('cell_id', 'sample')} AS h FROM cell_obs WHERE cell_id IS NOT NULL AND loaded_at IS NOT NULL)
   QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at, stratum) = 1),

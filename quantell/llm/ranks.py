@@ -1,15 +1,19 @@
-"""Problem 5: percentiles with a known error, from mergeable rank-interval summaries.
+"""Problem 5: percentiles with a bounded error, from mergeable rank-interval summaries.
 
 A summary of n values is a list of tuples (value, le, lt): at least ``le`` of the values are at most this one, and at
 most ``lt`` are less. So the value's ranks are known as an interval, as in Greenwald and Khanna's public papers (2001,
-2004); runs of equal values are kept whole. Merging adds the bounds and makes no new error; cutting a summary to a
-given size does. The error is tracked by the bounds themselves: :func:`rank_error` is how far, in ranks, an answer can
-be from the rank asked for.
+2004); runs of equal values are kept whole. Merging adds the bounds and makes no new error. Compressing drops tuples
+as long as the ranks between those that are left stay known to within the permitted uncertainty, a share of n that
+the caller gives: summaries of partitions may use half of it, each level of the hierarchy a further part. So the error
+of every answer is at most ``floor(error * n)`` ranks however often summaries are merged, and exact for groups of less
+than ``1 / error`` values. The error is tracked by the bounds themselves (:func:`rank_error`) and checked at each step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import math
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantell.plans.shared import written
+
 #: Summaries that one step of the hierarchy merges per key, at most.
 FAN_IN = 16
-#: Parts that the keys are spread over for merging; a key's summaries stay together.
-KEY_PARTS = 64
+#: Values a partition holds before it summarises them and goes on.
+RUN_ROWS = 1_000_000
+#: Tuples that a merging task is meant to hold; the number of tasks follows the summaries' size.
+PART_TUPLES = 500_000
 
 Summary = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -54,7 +62,7 @@ def merge(a: Summary, b: Summary) -> Summary:
         return np.where(at_most >= 0, le[np.maximum(at_most, 0)], 0), np.where(at_least < len(vs), lt[np.minimum(at_least, len(vs) - 1)], total)
 
     v = np.union1d(va, vb)
-    # The greatest value of a summary is kept by cut(), so its le is the number of values summarised.
+    # compress() keeps the greatest value of a summary, so its le is the number of values summarised.
     le1, lt1 = bounds(v, a, int(lea[-1]))
     le2, lt2 = bounds(v, b, int(leb[-1]))
     return v, le1 + le2, lt1 + lt2
@@ -70,12 +78,16 @@ def ask(s: Summary, n: int, rank: np.ndarray) -> np.ndarray:
     return np.where(off[1] < off[0], before, at)
 
 
-def cut(s: Summary, n: int, size: int) -> Summary:
-    """At most ``size + 1`` tuples, those that answer evenly spaced ranks, the least and the greatest included."""
-    if len(s[0]) <= size + 1:
+def compress(s: Summary, permitted: int) -> Summary:
+    """The fewest tuples, the least and the greatest included, between which no rank is known worse than ``permitted``."""
+    v, le, lt = s
+    if permitted < 1 or len(v) < 3:
         return s
-    at = np.unique(np.concatenate([[0], ask(s, n, np.linspace(1, n, size - 1)), [len(s[0]) - 1]]))
-    return s[0][at], s[1][at], s[2][at]
+    ranks, kept, last = lt.tolist(), [0], len(v) - 1
+    while kept[-1] < last:
+        i = kept[-1]
+        kept.append(min(max(bisect_right(ranks, int(le[i]) + 2 * permitted) - 1, i + 1), last))
+    return v[kept], le[kept], lt[kept]
 
 
 def _pack(rows: list[tuple]) -> pa.Table:
@@ -87,19 +99,16 @@ def _pack(rows: list[tuple]) -> pa.Table:
 SCHEMA = "key string, metric string, node int, n long, v array<double>, le array<long>, lt array<long>"
 
 
-def rank_summaries(df: DataFrame, key: Column, values: Mapping[str, Column], size: int = 1000) -> DataFrame:
-    """``(key, metric, node, n, v, le, lt)``: a summary per partition, key and value; null, NaN and infinite values and null keys are left out.
+def rank_summaries(df: DataFrame, key: Column, values: Mapping[str, Column], error: float = 0.001) -> DataFrame:
+    """``(key, metric, node, n, v, le, lt)``: summaries per partition, key and value; null, NaN and infinite values and null keys are left out.
 
-    A partition holds its values until they are summarised; each summary has at most ``size + 1`` tuples, which bounds
-    what is shuffled whatever the size of a key.
+    A partition summarises ``RUN_ROWS`` rows at a time, with half the permitted ``error`` (a share of each summary's n),
+    so what it holds and what is shuffled is bounded whatever the size of a key.
     """
     names = list(values)
     rows = df.select(key.cast("string").alias("key"), *[c.cast("double").alias(f"v{i}") for i, c in enumerate(values.values())]).where(F.col("key").isNotNull())
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
+    def run(held: list[pa.RecordBatch]) -> pa.Table:
         t = pa.Table.from_batches(held)
         enc = pa.concat_arrays(t.column(0).chunks).dictionary_encode()
         code, keys = enc.indices.to_numpy(), enc.dictionary.to_pylist()
@@ -114,46 +123,65 @@ def rank_summaries(df: DataFrame, key: Column, values: Mapping[str, Column], siz
             new[1:-1] = c[1:] != c[:-1]
             edge = np.flatnonzero(new)  # where each key's values begin, and the end
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                out.append((keys[c[a]], name, TaskContext.get().partitionId(), b - a, cut(of_values(x[a:b]), b - a, size)))
-        yield from _pack(out).to_batches()
+                out.append((keys[c[a]], name, TaskContext.get().partitionId(), b - a, compress(of_values(x[a:b]), math.floor(error / 2 * (b - a)))))
+        return _pack(out)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= RUN_ROWS:
+                yield from run(held).to_batches()
+                held, n = [], 0
+        if held:
+            yield from run(held).to_batches()
 
     return rows.mapInArrow(summarise, SCHEMA)
 
 
-def merge_summaries(summaries: DataFrame, size: int = 1000, nodes: int | None = None) -> DataFrame:
+def merge_summaries(summaries: DataFrame, error: float = 0.001) -> DataFrame:
     """The same columns, a row per key and metric; summaries of several loads may be united before.
 
-    Merged in a hierarchy of ``FAN_IN`` at a time, so no task holds more than ``FAN_IN * (size + 1)`` tuples of a key.
-    ``nodes``: an upper bound of the nodes' numbers, else the partitions that summaries can have come from.
+    Merged in a hierarchy, ``FAN_IN`` nodes of each load at a time; tasks hold about ``PART_TUPLES`` tuples. Raises
+    where summaries were made with a greater error than ``error`` and an answer would be off by more.
     """
-    if nodes is None:
-        nodes = max(int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions")), summaries.select(F.max("node")).first()[0] or 0) + 1
-
-    def join(t: pa.Table) -> pa.Table:
-        ks, ms, node, ns = t.column("key").to_pylist(), t.column("metric").to_pylist(), t.column("node").to_numpy(), t.column("n").to_numpy()
-        parts = []
-        for c in ("v", "le", "lt"):
-            arr = pa.concat_arrays(t.column(c).chunks)
-            parts.append((arr.flatten().to_numpy(), np.append(0, np.cumsum(arr.value_lengths().to_numpy()))))
-        groups: dict[tuple[str, str], list[int]] = {}
-        for i in np.argsort(node, kind="stable"):
-            groups.setdefault((ks[i], ms[i]), []).append(int(i))
-        out = []
-        for (k, m), at in sorted(groups.items()):
-            total, s = 0, (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            for i in at:
-                s = merge(s, tuple(x[o[i] : o[i + 1]] for x, o in parts))
-                total += int(ns[i])
-            out.append((k, m, int(node[at[0]]) // FAN_IN, total, cut(s, total, size)))
-        return _pack(out)
-
-    width = 1
-    while True:
-        width *= FAN_IN
-        up = summaries.withColumn("up", F.floor(F.col("node") / FAN_IN)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(KEY_PARTS)))
-        summaries = up.groupBy("part", "up").applyInArrow(lambda t: join(t.select(["key", "metric", "node", "n", "v", "le", "lt"])), SCHEMA)
-        if width >= nodes:
-            return summaries
+    summaries = written(summaries)
+    size = summaries.agg(F.coalesce(F.max("node"), F.lit(0)).alias("node"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("tuples")).first()
+    parts = max(1, -(-size.tuples // PART_TUPLES))
+    levels = 1
+    while FAN_IN**levels <= size.node:
+        levels += 1
+
+    def join(share: float) -> Callable[[pa.Table], pa.Table]:
+        def joined(t: pa.Table) -> pa.Table:
+            ks, ms, node, ns = t.column("key").to_pylist(), t.column("metric").to_pylist(), t.column("node").to_numpy(), t.column("n").to_numpy()
+            columns = []
+            for c in ("v", "le", "lt"):
+                arr = pa.concat_arrays(t.column(c).chunks)
+                columns.append((arr.flatten().to_numpy(), np.append(0, np.cumsum(arr.value_lengths().to_numpy()))))
+            groups: dict[tuple[str, str], list[int]] = {}
+            for i in np.argsort(node, kind="stable"):
+                groups.setdefault((ks[i], ms[i]), []).append(int(i))
+            out = []
+            for (k, m), at in sorted(groups.items()):
+                total, held = 0, [tuple(x[o[i] : o[i + 1]] for x, o in columns) for i in at]
+                while len(held) > 1:
+                    held = [merge(*held[i : i + 2]) if len(held[i : i + 2]) == 2 else held[i] for i in range(0, len(held), 2)]
+                total = int(ns[at].sum())
+                permitted = math.floor(share * total)
+                s = compress(held[0], permitted)
+                if rank_error(s, total) > math.floor(error * total):
+                    raise ValueError(f"summaries of {k} were made with an error above {error}")
+                out.append((k, m, int(node[at[0]]) // FAN_IN, total, s))
+            return _pack(out)
+
+        return joined
+
+    for level in range(1, levels + 1):
+        up = summaries.withColumn("up", F.floor(F.col("node") / FAN_IN)).withColumn("part", F.pmod(F.xxhash64("key", "metric"), F.lit(parts)))
+        summaries = up.groupBy("part", "up").applyInArrow(join(error / 2 * (1 + level / levels)), SCHEMA)
+    return summaries
 
 
 def percentiles(summaries: DataFrame, shares: Mapping[str, float]) -> DataFrame:
