@@ -218,7 +218,27 @@ _PERCENTILES = f"""WITH {_LAST}, x AS (SELECT b, {', '.join(f'CASE WHEN {ok} THE
 SELECT b AS batch, {', '.join(f"nullif(count({m}), 0) AS {m}_n, CAST(floor(nullif(count({m}), 0) * {RANK_ERROR}) AS BIGINT) AS {m}_permitted, CASE WHEN count({m}) > 0 THEN true END AS {m}_within, round(quantile_cont({m}, 0.5), 6) AS {m}_median, round(quantile_cont({m}, 0.95), 6) AS {m}_p95" for m in _VALID)}
 FROM x GROUP BY b HAVING count(total_counts) + count(pct_counts_mt) > 0"""
 
+def _words_sql(text: str) -> str:
+    """The words of a text as a list; of character references those that occur."""
+    parting = r"</?(br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|pre|hr)\b[^<>]*>|\[/?(quote|list|table|tr|td|img|code)\b[^\[\]]*\]"
+    out = rf"regexp_replace(regexp_replace({text}, '{parting}', ' ', 'gi'), '</?[A-Za-z!?][^<>]*>|\[[^\[\]]*\]', '', 'g')"
+    for ref, c in (("&nbsp;", " "), ("&#32;", " "), ("&shy;", ""), ("&amp;", "&")):
+        out = f"replace({out}, '{ref}', '{c}')"
+    return rf"regexp_extract_all(regexp_replace(replace(strip_accents(lower({out})), 'ß', 'ss'), '\p{{Cf}}|\p{{Mn}}|\p{{Me}}', '', 'g'), '[\p{{L}}\p{{N}}]+')"
+
+
+_LEAKS = f"""WITH d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+ i AS (SELECT item_id, {_words_sql('text')} AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ dr AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d)),
+ ir AS (SELECT item_id, n, p AS q, array_to_string(w[p:p + 7], ' ') AS run FROM (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 6)) AS p FROM i)),
+ hit AS (SELECT doc_id, item_id, n, p, q FROM dr JOIN ir USING (run)),
+ span AS (SELECT doc_id, item_id, n, min(q) AS q, count(*) + 7 AS words FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM hit) GROUP BY doc_id, item_id, n, p - q, run),
+ own AS (SELECT doc_id, item_id, n, count(DISTINCT w) AS covered FROM (SELECT doc_id, item_id, n, unnest(range(q, q + words)) AS w FROM span) GROUP BY ALL)"""
+
 SQL = {
+    "p8_found": f"{_LEAKS} SELECT DISTINCT doc_id, item_id FROM hit",
+    "p8_leaks": f"""{_LEAKS} SELECT doc_id, item_id, count(*) AS n_spans, CAST(max(words) AS INTEGER) AS longest, round(any_value(covered) / any_value(own.n), 6) AS share
+FROM span JOIN own USING (doc_id, item_id) GROUP BY ALL""",
     "p5_percentiles": _PERCENTILES,
     "p5_loads": _PERCENTILES,
     "p2_sample": f"""WITH f AS (SELECT * FROM (SELECT cell_id, loaded_at, coalesce({clean_label_sql('batch')}, '') || chr(31) || coalesce({clean_label_sql('annotation')}, '') AS stratum,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import quantell.llm.leaks as leaks
 from quantell.functions.labels import clean_source
-from quantell.llm.leaks import K, W, leaked_pairs, leaked_spans, run_hashes, winnow, words
+from quantell.llm.leaks import K, W, leaked_pairs, leaked_spans, run_hashes, winnow, word_hashes, words
 from quantell.llm.mixing import in_order, mixture, when_demanded
 from quantell.llm.splitting import character_spans, pieces, rebuilt, split_texts
 from quantell.llm.tokens import PYTHON_TOKEN, token_count
@@ -32,7 +32,7 @@ def test_words():
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.integers(0, 3), max_size=60), st.lists(st.integers(0, 3), min_size=K + W - 1, max_size=20))
 def test_a_shared_span_keeps_a_hash_in_common(a, b, shared):
-    h = [{int(x) for x in hs[winnow(hs)]} for hs in (run_hashes([str(w) for w in [*side, *shared, *side[::-1]]]) for side in (a, b))]
+    h = [{int(x) for x in hs[winnow(hs)]} for hs in (run_hashes(word_hashes([str(w) for w in [*side, *shared, *side[::-1]]])) for side in (a, b))]
     assert h[0] & h[1]
 
 
@@ -64,8 +64,17 @@ def test_found_pairs_equal_brute_force(spark, monkeypatch):
     it = spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)
     got = {(r.doc_id, r.item_id) for r in leaked_pairs(leaked_spans(df, it)).collect()}
     assert got == brute(docs, items) and len(got) > 10
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 60)  # items in several blocks
-    assert {(r.doc_id, r.item_id) for r in leaked_spans(df, it).collect()} == got
+    spans = sorted(map(tuple, leaked_spans(df, it).collect()))
+    monkeypatch.setattr(leaks, "SHARED_WORDS", 60)  # too many to be shared: joined
+    assert sorted(map(tuple, leaked_spans(df, it).collect())) == spans
+
+
+def test_share_is_that_of_all_spans(spark):
+    """One inserted word parts an item of 40 words into two spans, which cover it together; overlaps count once."""
+    ws = [f"q{i}" for i in range(40)]
+    docs = [(1, " ".join([*ws[:20], "new", *ws[20:]]), "", 0, 0, 0), (2, " ".join([*ws[:12], "x", *ws[4:16], "x", *ws[:12]]), "", 0, 0, 0)]
+    got = leaked_pairs(leaked_spans(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, " ".join(ws), 0)], ITEMS))).collect()
+    assert {r.doc_id: (r.n_spans, r.longest, r.share) for r in got} == {1: (2, 20, 1.0), 2: (3, 12, 0.4)}
 
 
 def test_spans_are_maximal(spark):
@@ -75,7 +84,9 @@ def test_spans_are_maximal(spark):
     assert sorted((r.doc_word, r.item_word, r.n_words) for r in got) == [(1, 3, 17), (19, 22, 8)]
 
 
-def test_leaks_of_dirt_and_long_texts(spark):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_leaks_of_dirt_and_long_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(leaks, "SHARED_WORDS", most)
     text = " ".join(f"q{i}" for i in range(10))
     long = "z " * 200_000 + text
     d = [(1, None, "", 0, 0, 0), (None, text, "", 0, 0, 0), (2, "", "", 0, 0, 0), (3, long, "", 0, 0, 0), (4, text, "", 0, 0, 0), (4, text, "", 0, 0, 0), (5, "q0 q1", "", 0, 0, 0)]
