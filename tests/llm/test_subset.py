@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+import quantell.llm.subset as subset
 from quantell.llm.subset import pivoted, varied_subset
 
 
@@ -48,6 +49,24 @@ def test_more_rows_than_one_set_of_features_tells_apart(spark, crowd):
     assert len({r.cell_id for r in few}) == 330
 
 
+def test_fewer_features_than_rows_and_many_labels(spark):
+    """All distinct rows come out, however few features the caller names, and every one of many labels."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(300, 30)), rng.normal(size=(1, 30)) + 1e-5 * rng.normal(size=(20, 30))]).astype(np.float32)
+    ids = np.arange(len(x))
+    got = varied_subset(table(spark, ids, x), labels(spark, ids[:0]), 320, n_features=128).collect()
+    assert {r.cell_id for r in got} == set(range(320))
+    many = spark.createDataFrame([(int(i), f"l{i % 200}") for i in ids], "cell_id long, annotation string")
+    assert len({r.label for r in varied_subset(table(spark, ids, x), many, 200).collect()}) == 200
+
+
+def test_leaves_are_read_from_one_table(spark, crowd, monkeypatch):
+    ids, x = crowd
+    monkeypatch.setattr(subset, "LEAF_ROWS", 100)
+    got = varied_subset(table(spark, ids, x), labels(spark, ids), 40, per_round=10).collect()
+    assert len({r.cell_id for r in got}) == 40 and {"rare", "big"} <= {r.label for r in got}
+
+
 def test_same_for_any_order_and_partitioning(spark, crowd):
     ids, x = crowd
     a = varied_subset(table(spark, ids, x), labels(spark, ids), 30).collect()
