@@ -10,7 +10,8 @@ from quantell.llm.density import density_clusters, describe_clusters
 from quantell.llm.latest import latest_rows
 from quantell.llm.leaks import leaked_pairs, leaked_spans
 from quantell.llm.mixing import in_order, mixture
-from quantell.llm.quota import quota_sample
+from quantell.llm.mixing import reached as mixed
+from quantell.llm.quota import quota_sample, reached
 from quantell.llm.ranks import merge_summaries, percentiles, rank_summaries
 from quantell.llm.splitting import split_texts
 from quantell.llm.stable import RANGE, key_hash_sql, stable_sample
@@ -50,8 +51,7 @@ def _quota(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = _quota(spark, sf_dir)[1]
-    return report.where("short").select(F.col("r").alias("annotation"), F.col("c").alias("condition"))
+    return reached(*_quota(spark, sf_dir)).where("short").select(F.col("r").alias("annotation"), F.col("c").alias("condition"))
 
 
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,7 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, report = _quota(spark, sf_dir)
-    return report.withColumnsRenamed({"r": "annotation", "c": "condition"})
+    return reached(*_quota(spark, sf_dir)).withColumnsRenamed({"r": "annotation", "c": "condition"})
 
 
 def _top_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,23 +146,19 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_pairs(_spans(spark, sf_dir))
 
 
-def _mixture(spark: SparkSession, sf_dir: str, schedules: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, sf_dir: str, schedules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     docs, targets = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_targets")
     return mixture(docs, targets, "doc_id", clean_source(F.col("source")), token_count(F.col("text")), clean_source(F.col("source")), schedules)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir)[1].where("short").select("source")
+    return mixed(*_mixture(spark, sf_dir)).where("short").select("source")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares planned, and those of the copies that are made."""
-    copies, plan = _mixture(spark, sf_dir)
-    made = copies.groupBy("source").agg(F.sum("tokens").alias("made"), F.count("*").alias("copies"))
-    all_ = made.agg(F.sum("made").alias("all_made"))
-    out = plan.join(made, "source", "left").join(F.broadcast(all_))  # one row is broadcast
-    out = out.withColumn("made_share", F.coalesce(F.col("made") / F.nullif(F.col("all_made"), F.lit(0)), F.lit(0.0)))
-    return out.select("source", "tokens", "target_share", "share", "short", "repeats", F.coalesce("made", F.lit(0)).alias("made"), F.coalesce("copies", F.lit(0)).alias("copies"), "made_share")
+    out = mixed(*_mixture(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("share", "made_share")})
+    return out.select("source", "tokens", "target_share", "share", "short", "repeats", "made", "copies", "made_share")
 
 
 def p9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +167,13 @@ def p9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.groupBy("doc_id").agg(F.count("*").alias("repeats"))
 
 
+#: A curriculum that lets one source fade and another grow in its second half: source, time, weight.
+SCHEDULE = [("hearthboard", 0.0, 1.5), ("hearthboard", 1.0, 0.5), ("kiln_notes", 0.0, 0.25), ("kiln_notes", 0.5, 0.25), ("kiln_notes", 1.0, 2.0)]
+
+
 def p9_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training order under a curriculum that lets one source fade and another grow."""
-    copies, _ = _mixture(spark, sf_dir, {"hearthboard": (1.5, 0.5), "kiln_notes": (0.25, 1.75)})
+    """Training order under the curriculum."""
+    copies, _ = _mixture(spark, sf_dir, spark.createDataFrame(SCHEDULE, "source string, t double, weight double"))
     return in_order(copies, "doc_id")
 
 
@@ -235,7 +234,26 @@ _LEAKS = f"""WITH d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents
  span AS (SELECT doc_id, item_id, n, min(q) AS q, count(*) + 7 AS words FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM hit) GROUP BY doc_id, item_id, n, p - q, run),
  own AS (SELECT doc_id, item_id, n, count(DISTINCT w) AS covered FROM (SELECT doc_id, item_id, n, unnest(range(q, q + words)) AS w FROM span) GROUP BY ALL)"""
 
+_MIX = f"""WITH x AS (SELECT doc_id, {clean_source_sql('source')} AS source, {token_count_sql('text')} AS n, {key_hash_sql('doc_id', 'mix')} AS h FROM documents WHERE doc_id IS NOT NULL),
+ y AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - n AS own FROM x WHERE source IS NOT NULL),
+ t AS (SELECT {clean_source_sql('source')} AS source, sum(coalesce(target_share, 0)) AS target_share, max(coalesce(max_repeats, 0)) AS cap FROM source_targets GROUP BY 1 HAVING {clean_source_sql('source')} IS NOT NULL),
+ p AS (SELECT t.source, target_share, coalesce(s.n, 0) AS tokens, target_share * (SELECT sum(n) FROM y) AS wanted, least(target_share * (SELECT sum(n) FROM y), cap * coalesce(s.n, 0)) AS used
+  FROM t LEFT JOIN (SELECT source, sum(n) AS n FROM y GROUP BY 1) s USING (source)),
+ r AS (SELECT *, CAST(coalesce(floor(used / nullif(tokens, 0)), 0) AS BIGINT) AS repeats FROM p),
+ k AS (SELECT doc_id, source, n, own, tokens, used, unnest(range(1, repeats + CASE WHEN n > 0 AND own < used - repeats * tokens THEN 1 ELSE 0 END + 1)) AS copy FROM y JOIN r USING (source))"""
+_POINTS = ", ".join(f"('{s}', {t}, {w})" for s, t, w in SCHEDULE)
+
 SQL = {
+    "p9_shares": f"""{_MIX}, m AS (SELECT source, sum(n) AS made, count(*) AS copies FROM k GROUP BY 1)
+SELECT source, CAST(tokens AS BIGINT) AS tokens, target_share, round(used / (SELECT sum(used) FROM r), 9) AS share, coalesce(made, 0) < wanted AS short, repeats, CAST(coalesce(made, 0) AS BIGINT) AS made, coalesce(copies, 0) AS copies,
+ round(coalesce(made, 0) / (SELECT sum(made) FROM m), 9) AS made_share FROM r LEFT JOIN m USING (source)""",
+    "p9_repeats": f"{_MIX} SELECT doc_id, count(*) AS repeats FROM k GROUP BY 1",
+    "p9_order": f"""{_MIX}, pt(source, t, w) AS (VALUES {_POINTS}), l0 AS (SELECT source, lag(t) OVER o AS t0, t AS t1, lag(w) OVER o AS w0, w AS w1 FROM pt WINDOW o AS (PARTITION BY source ORDER BY t)),
+ l1 AS (SELECT * FROM l0 WHERE t0 IS NOT NULL UNION ALL SELECT source, 0.0, 1.0, 1.0, 1.0 FROM r WHERE source NOT IN (SELECT source FROM pt)), l2 AS (SELECT source, CAST(t0 AS DOUBLE) AS t0, CAST(t1 AS DOUBLE) AS t1, CAST(w0 AS DOUBLE) AS w0, CAST(w1 AS DOUBLE) AS w1 FROM l1),
+ l AS (SELECT *, coalesce(sum((t1 - t0) * (w0 + w1) / 2) OVER (PARTITION BY source ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum((t1 - t0) * (w0 + w1) / 2) OVER (PARTITION BY source) AS area FROM l2),
+ z AS (SELECT doc_id, copy, k.source, n AS tokens, l.*, ((copy - 1) * k.tokens + own) / used * area AS part FROM k JOIN l ON l.source = k.source WHERE before <= ((copy - 1) * k.tokens + own) / used * area
+  QUALIFY row_number() OVER (PARTITION BY doc_id, copy ORDER BY before DESC) = 1)
+SELECT doc_id, CAST(copy AS INTEGER) AS copy, source, CAST(tokens AS BIGINT) AS tokens, round(t0 + 2 * (part - before) / (w0 + sqrt(w0 * w0 + (w1 - w0) / (t1 - t0) * 2 * (part - before))), 9) AS position FROM z""",
     "p8_found": f"{_LEAKS} SELECT DISTINCT doc_id, item_id FROM hit",
     "p8_leaks": f"""{_LEAKS} SELECT doc_id, item_id, count(*) AS n_spans, CAST(max(words) AS INTEGER) AS longest, round(any_value(covered) / any_value(own.n), 6) AS share
 FROM span JOIN own USING (doc_id, item_id) GROUP BY ALL""",

@@ -19,7 +19,11 @@ BUCKETS = 1 << 14
 
 
 class _Flow:
-    """Maximum flow by shortest augmenting paths (public: Edmonds and Karp 1972); capacities are integers."""
+    """Maximum flow by blocking flows in layers (public: Dinic 1970); capacities are integers.
+
+    In a table's network every cell has capacity 1, so the number of layers grows with the root of the number of rows
+    and columns at most, and a layer takes time in proportion to the cells.
+    """
 
     def __init__(self, n: int):
         self.next: list[list[int]] = [[] for _ in range(n)]
@@ -33,28 +37,50 @@ class _Flow:
             self.cap.append(c)
         return len(self.to) - 2
 
+    def _layers(self, s: int) -> list[int]:
+        depth = [-1] * len(self.next)
+        depth[s] = 0
+        todo = deque([s])
+        while todo:
+            u = todo.popleft()
+            for e in self.next[u]:
+                if self.cap[e] > 0 and depth[self.to[e]] < 0:
+                    depth[self.to[e]] = depth[u] + 1
+                    todo.append(self.to[e])
+        return depth
+
     def run(self, s: int, t: int) -> int:
         total = 0
-        while True:
-            came = {s: -1}
-            todo = deque([s])
-            while todo and t not in came:
-                u = todo.popleft()
-                for e in self.next[u]:
-                    if self.cap[e] > 0 and self.to[e] not in came:
-                        came[self.to[e]] = e
-                        todo.append(self.to[e])
-            if t not in came:
-                return total
-            path, v = [], t
-            while v != s:
-                path.append(came[v])
-                v = self.to[came[v] ^ 1]
-            least = min(self.cap[e] for e in path)
-            for e in path:
-                self.cap[e] -= least
-                self.cap[e ^ 1] += least
-            total += least
+        while (depth := self._layers(s))[t] >= 0:
+            tried = [0] * len(self.next)  # edges of a node that lead nowhere in this layer, or are full
+            path: list[int] = []
+            u = s
+            while True:
+                if u == t:
+                    least = min(self.cap[e] for e in path)
+                    for e in path:
+                        self.cap[e] -= least
+                        self.cap[e ^ 1] += least
+                    total += least
+                    full = next(i for i, e in enumerate(path) if not self.cap[e])
+                    u = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                edges = self.next[u]
+                while tried[u] < len(edges):
+                    e = edges[tried[u]]
+                    if self.cap[e] > 0 and depth[self.to[e]] == depth[u] + 1:
+                        break
+                    tried[u] += 1
+                if tried[u] < len(edges):
+                    path.append(edges[tried[u]])
+                    u = self.to[path[-1]]
+                elif not path:
+                    break
+                else:
+                    u = self.to[path.pop() ^ 1]
+                    tried[u] += 1
+        return total
 
 
 def controlled_rounding(table: dict[tuple[str, str], float]) -> dict[tuple[str, str], int]:
@@ -63,12 +89,15 @@ def controlled_rounding(table: dict[tuple[str, str], float]) -> dict[tuple[str,
 
     The fractional parts are a feasible flow rows → cells → columns with bounds at the floors and ceilings of the
     margins, so an integral one exists (public: Bacharach 1966, Cox 1987). Lower bounds are met by the usual
-    reduction to a maximum flow. Cells are taken in their sorted order, so the result is unique.
+    reduction to a maximum flow. Cells are taken in their sorted order, so the result is always the same.
     """
     cells = sorted(table)
     fix = {c: math.floor(table[c] + 1e-9) for c in cells}
     part = {c: max(0.0, table[c] - fix[c]) for c in cells}
-    rows, cols = sorted({a for a, _ in cells}), sorted({b for _, b in cells})
+    rows: dict[str, float] = {}
+    cols: dict[str, float] = {}
+    for a, b in cells:
+        rows[a], cols[b] = rows.get(a, 0.0) + part[a, b], cols.get(b, 0.0) + part[a, b]
     s, t, src, snk = 0, 1, 2, 3
     node = {("r", a): 4 + i for i, a in enumerate(rows)} | {("c", b): 4 + len(rows) + i for i, b in enumerate(cols)}
     g = _Flow(4 + len(node))
@@ -80,10 +109,10 @@ def controlled_rounding(table: dict[tuple[str, str], float]) -> dict[tuple[str,
         need[v] += lo
         need[u] -= lo
 
-    for a in rows:
-        bounded(s, node["r", a], sum(part[c] for c in cells if c[0] == a))
-    for b in cols:
-        bounded(node["c", b], t, sum(part[c] for c in cells if c[1] == b))
+    for a, x in rows.items():
+        bounded(s, node["r", a], x)
+    for b, x in cols.items():
+        bounded(node["c", b], t, x)
     bounded(t, s, sum(part.values()))
     edges = {c: g.edge(node["r", c[0]], node["c", c[1]], 1) for c in cells if part[c] > 1e-9}
     for v, d in enumerate(need):
@@ -120,8 +149,7 @@ def quotas(targets: dict[tuple[str, str], tuple[float, int]], available: dict[tu
             del free[c]
     whole = controlled_rounding(held)
     return {
-        c: {"available": available.get(c, 0), "wanted": share * size, "least": m, "quota": min(whole[c], available.get(c, 0)),
-            "short": available.get(c, 0) < max(m, share * size)}
+        c: {"available": available.get(c, 0), "wanted": share * size, "least": m, "quota": min(whole[c], available.get(c, 0))}
         for c, (share, m) in targets.items()
     }
 
@@ -130,13 +158,13 @@ def quota_sample(
     df: DataFrame, targets: DataFrame, key: str, at: str, row: Column, col: Column, target_row: Column, target_col: Column,
     share: str = "target_share", least: str = "min_cells", fraction: float = 0.2, salt: str = "quota",
 ) -> tuple[DataFrame, DataFrame]:
-    """The sample ``(key, row, col)`` and the report ``(row, col, available, wanted, least, quota, share, target_share, short)``.
+    """The sample ``(key, row, col)`` and the plan ``(row, col, available, wanted, least, quota, target_share)``.
 
     A key's stratum is that of its latest row; usable keys are those whose stratum ``targets`` lists. Of them
     ``fraction`` is drawn, the shares as near to their targets as possible (see :func:`quotas`); of each stratum
-    exactly its quota with the least random keys, hashes of the key. ``short`` marks strata with fewer usable keys
-    than the greater of their minimum and their target. Target rows with a null part or share are left out, repeated
-    strata add up; a null minimum is 0. Rows with a null key are left out. Without usable keys the sample is empty.
+    exactly its quota with the least random keys, hashes of the key. Target rows with a null part or share are left out,
+    repeated strata add up; a null minimum is 0. Rows with a null key are left out. Without usable keys the sample is empty.
+    What the drawn keys reach is told by :func:`reached`.
 
     Quotas are cut at a bucket of the random key, from counts per stratum and bucket; only the bucket in which a quota
     ends is ranked, so a stratum of any size is drawn from without gathering it.
@@ -159,10 +187,9 @@ def quota_sample(
     n = sum(available.values())
     plan = quotas(wanted, available, math.floor(fraction * n + 1e-9))
     exact = {c: s * fraction * n for c, (s, _) in wanted.items()}
-    drawn = sum(p["quota"] for p in plan.values())
     report = spark.createDataFrame(
-        [(r, c, p["available"], exact[r, c], p["least"], p["quota"], p["quota"] / drawn if drawn else 0.0, wanted[r, c][0], p["available"] < max(p["least"], exact[r, c])) for (r, c), p in plan.items()],
-        "r string, c string, available long, wanted double, least long, quota long, share double, target_share double, short boolean",
+        [(r, c, p["available"], exact[r, c], p["least"], p["quota"], wanted[r, c][0]) for (r, c), p in plan.items()],
+        "r string, c string, available long, wanted double, least long, quota long, target_share double",
     )
     need = F.broadcast(report.select("r", "c", "quota"))  # at most MOST_STRATA rows
     before = F.sum("n").over(Window.partitionBy("r", "c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
@@ -172,3 +199,21 @@ def quota_sample(
     place = F.row_number().over(Window.partitionBy("r", "c", "b").orderBy("h", "k"))
     ends = met.where("NOT all").withColumn("place", place).where("place <= take")
     return met.where("all").select(F.col("k").alias(key), "r", "c").union(ends.select(F.col("k").alias(key), "r", "c")), report
+
+
+def reached(sample: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with what was drawn: ``drawn``, its ``share`` of all drawn, ``short`` and ``pressed``.
+
+    ``short`` marks strata in which less was drawn than the greater of their minimum and their target, and which have no
+    more usable keys than that. ``pressed`` marks those that do have them but were left below their target, by a whole key or
+    more, because the minima of others take up the sample.
+    """
+    drawn = sample.groupBy("r", "c").agg(F.count("*").alias("drawn"))
+    rows = plan.join(drawn, ["r", "c"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    total = rows.agg(F.sum("drawn").alias("total"))
+    need = F.greatest(F.col("least").cast("double"), F.col("wanted"))
+    rows = rows.join(F.broadcast(total))  # one row is broadcast
+    short = (F.col("drawn") < need) & (F.col("available") < need)
+    pressed = (F.col("drawn") < F.floor("wanted")) & (F.col("available") >= need)
+    share = F.coalesce(F.col("drawn") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
+    return rows.select("r", "c", "available", "wanted", "least", "quota", "drawn", share.alias("share"), "target_share", short.alias("short"), pressed.alias("pressed"))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quantell.functions.labels import clean_label
-from quantell.llm.quota import controlled_rounding, quota_sample, quotas
+from quantell.llm.quota import controlled_rounding, quota_sample, quotas, reached
 
 CELLS = "cell_id long, annotation string, condition string, loaded_at timestamp_ntz, k int, short string"
 TARGETS = "annotation string, condition string, target_share double, min_cells long"
@@ -29,15 +31,16 @@ def test_rounding_preserves_both_margins(table):
 def test_quotas_keep_minima_and_give_what_is_short_to_others():
     targets = {("a", "x"): (0.5, 1), ("a", "y"): (0.3, 1), ("b", "x"): (0.19, 1), ("b", "y"): (0.01, 5)}
     plan = quotas(targets, {("a", "x"): 20, ("a", "y"): 500, ("b", "x"): 500, ("b", "y"): 9}, 100)
-    assert plan["a", "x"]["quota"] == 20 and plan["a", "x"]["short"]
-    assert plan["b", "y"]["quota"] == 5 and not plan["b", "y"]["short"]
+    assert plan["a", "x"]["quota"] == 20
+    assert plan["b", "y"]["quota"] == 5
     assert sum(p["quota"] for p in plan.values()) == 100
     assert quotas(targets, {}, 0)["a", "x"]["quota"] == 0
 
 
 def draw(spark, cells, targets, **args):
     a, c = clean_label(F.col("annotation")), clean_label(F.col("condition"))
-    return quota_sample(spark.createDataFrame(cells, CELLS), spark.createDataFrame(targets, TARGETS), "cell_id", "loaded_at", a, c, a, c, **args)
+    sample, plan = quota_sample(spark.createDataFrame(cells, CELLS), spark.createDataFrame(targets, TARGETS), "cell_id", "loaded_at", a, c, a, c, **args)
+    return sample, reached(sample, plan)
 
 
 def cells(at, n=1000):
@@ -54,6 +57,8 @@ def test_exact_quotas_and_report(spark, at):
     assert {k: n for k, n in got.items()} == {k: r.quota for k, r in plan.items() if r.quota}
     assert sum(got.values()) == 200
     assert plan["b_cells", "healthy"].short and plan["pdc", "healthy"].short and not plan["t_cells", "disease"].short
+    assert all(r.drawn == r.quota and abs(r.share - r.quota / 200) < 1e-12 for r in plan.values())
+    assert plan["t_cells", "disease"].pressed and not plan["b_cells", "healthy"].pressed, "a minimum of 200 takes up the sample"
     again, _ = draw(spark, cells(at)[::-1], TARGET_ROWS)
     assert sorted(r.cell_id for r in again.collect()) == sorted(r.cell_id for r in sample.collect())
     assert sample.select("cell_id").distinct().count() == 200
@@ -75,3 +80,15 @@ def test_nulls_ties_and_empty(spark, at):
     assert sample.count() == 0 and all(r.short == (r.least > 0) for r in report.collect())
     sample, report = draw(spark, d, [])
     assert sample.count() == 0 and report.count() == 0
+
+
+def test_rounding_of_many_strata():
+    """A table of 40,000 cells is rounded in seconds, margins kept."""
+    rng = random.Random(1)
+    table = {(f"r{i}", f"c{j}"): rng.random() * 3 for i in range(200) for j in range(200)}
+    start = time.monotonic()
+    got = controlled_rounding(table)
+    assert time.monotonic() - start < 60
+    for i in range(200):
+        row = sum(table[f"r{i}", f"c{j}"] for j in range(200))
+        assert math.floor(row) <= sum(got[f"r{i}", f"c{j}"] for j in range(200)) <= math.ceil(row)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import quantell.llm.leaks as leaks
 from quantell.functions.labels import clean_source
 from quantell.llm.leaks import K, W, leaked_pairs, leaked_spans, run_hashes, winnow, word_hashes, words
-from quantell.llm.mixing import in_order, mixture, when_demanded
+from quantell.llm.mixing import in_order, mixture, reached, segments, when_demanded
 from quantell.llm.splitting import character_spans, pieces, rebuilt, split_texts
 from quantell.llm.tokens import PYTHON_TOKEN, token_count
 
@@ -105,7 +106,8 @@ TARGETS = "source string, target_share double, max_repeats long"
 
 def mix(spark, docs, targets, **args):
     df = spark.createDataFrame(docs, DOCS)
-    return mixture(df, spark.createDataFrame(targets, TARGETS), "doc_id", clean_source(F.col("source")), token_count(F.col("text")), clean_source(F.col("source")), **args)
+    copies, plan = mixture(df, spark.createDataFrame(targets, TARGETS), "doc_id", clean_source(F.col("source")), token_count(F.col("text")), clean_source(F.col("source")), **args)
+    return copies, reached(copies, plan)
 
 
 def sourced(n=400):
@@ -135,13 +137,30 @@ def test_shares_repeats_and_shortfalls(spark):
 
 def test_positions_follow_the_schedule(spark):
     docs = [(i, "a b c d", "up" if i % 2 else "down", 0, 0, 0) for i in range(2000)]
-    copies, _ = mix(spark, docs, [("up", 0.5, 1), ("down", 0.5, 1)], schedules={"up": (0.2, 1.8), "down": (1.8, 0.2)})
+    points = spark.createDataFrame([("up", 0.0, 0.2), ("up", 1.0, 1.8), ("down", 0.0, 1.8), ("down", 1.0, 0.2)], POINTS)
+    copies, _ = mix(spark, docs, [("up", 0.5, 1), ("down", 0.5, 1)], schedules=points)
     got = [(r.position, r.source) for r in in_order(copies, "doc_id").collect()]
     assert len(got) == 2000 and [p for p, _ in got] == sorted(p for p, _ in got)
     early = [s for p, s in got if p < 0.25]
     assert early.count("down") / len(early) == pytest.approx((1.8 * 0.25 - 1.6 * 0.25**2 / 2) / 0.5, abs=0.02)
-    t = spark.range(1).select(when_demanded(F.lit(30.0), F.lit(100.0), F.lit(1.0), F.lit(1.0)), when_demanded(F.lit(25.0), F.lit(100.0), F.lit(0.0), F.lit(2.0))).first()
-    assert t[0] == pytest.approx(0.3) and t[1] == pytest.approx(0.5)
+
+
+POINTS = "source string, t double, weight double"
+
+
+def test_schedules_of_several_lines(spark):
+    """Positions invert the integral of the schedule, whatever its lines; bad points are left out."""
+    points = [("a", 0.25, 0.0), ("a", 0.5, 2.0), ("a", 0.5, 1.0), ("a", 0.75, 0.5), ("b", 0.0, 0.0), ("b", 1.0, 2.0), ("c", 0.3, 0.0), ("a", None, 1.0), ("a", 0.9, -1.0), ("a", 7.0, 9.0), (None, 0.5, 9.0)]
+    sources = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "source string")
+    lines = segments(spark.createDataFrame(points, POINTS), sources).crossJoin(spark.range(0, 101).select((F.col("id") / 100).alias("share")))
+    got = {(r.source, r.share): r.t for r in lines.select("source", "share", when_demanded(F.col("share"), F.col("lines"), F.col("area")).alias("t")).collect()}
+    at = {"a": ([0, 0.25, 0.5, 0.75, 1], [0, 0, 2, 0.5, 0.5]), "b": ([0, 1], [0, 2]), "c": ([0, 1], [1, 1]), "d": ([0, 1], [1, 1])}
+    fine = np.linspace(0, 1, 200_001)
+    for name, (t, w) in at.items():
+        v = np.interp(fine, t, w)
+        total = np.concatenate([[0], np.cumsum((v[1:] + v[:-1]) / 2)])
+        for share in (0.01, 0.1, 0.37, 0.5, 0.8, 0.99):
+            assert got[name, share] == pytest.approx(float(np.interp(share, total / total[-1], fine)), abs=1e-4)
 
 
 def test_mixing_dirt_and_empty(spark, rows):
