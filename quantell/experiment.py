@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantell.plans.shared import settled
+
 #: Comparisons of a column with a value, for subsets.
 COMPARISONS = {">=": "__ge__", ">": "__gt__", "==": "__eq__", "<": "__lt__", "<=": "__le__", "!=": "__ne__"}
 
@@ -56,6 +58,10 @@ class Experiment:
     def with_layer(self, name: str, values: DataFrame) -> Experiment:
         return replace(self, layers={**self.layers, name: values})
 
+    def settled(self, *layers: str | None) -> Experiment:
+        """``obs`` and the layers in a form that may be read more than once; see :func:`quantell.plans.shared.settled`."""
+        return replace(self, obs=settled(self.obs), layers={**self.layers, **{n or "X": settled(self.layer(n)) for n in layers}})
+
     def swap(self, layer_key: str, x_key: str = "X_before") -> Experiment:
         """The named layer as ``X``, what was ``X`` kept as ``x_key``. No job runs."""
         return replace(self, layers={**self.layers, x_key: self.layer(), "X": self.layer(layer_key)})

@@ -61,6 +61,38 @@ def grid_sql(keys: str, layer: str, v: str = "value", where: str = "") -> str:
  LEFT JOIN (SELECT {keys}, gene_id, sum({v}) AS t, sum(({v}) * ({v})) AS q, count(*) AS nz FROM {layer} JOIN obs USING (cell_id) GROUP BY ALL) s ON {on} AND g.gene_id = s.gene_id)"""
 
 
+def area_sql(f: str, a: str, b: str, steps: int = 400) -> str:
+    """Simpson's rule: the integral of ``f``, in which ``u`` is the variable, from a to b."""
+    u = f"(({a}) + (({b}) - ({a})) * i / {steps}.0)"
+    w = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: ({w}) * ({f.replace('§', u)}))) * (({b}) - ({a})) / {3 * steps}.0)"
+
+
+def norm_p(z: str) -> str:
+    """Two-sided normal p-value, to about 1e-9."""
+    return f"greatest(1 - 2 * {area_sql('exp(-§ * § / 2) / 2.5066282746310002', '0', f'least(abs({z}), 12)')}, 0)"
+
+
+def t_p(t: str, df: str) -> str:
+    """Two-sided p-value of t, to about 1e-9: with t = sqrt(df) tan(u) its density is a power of the cosine."""
+    c = f"exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / 1.7724538509055159"
+    return f"greatest(1 - 2 * ({c}) * {area_sql(f'pow(cos(§), ({df}) - 1)', '0', f'atan(abs({t}) / sqrt({df}))')}, 0)"
+
+
+def f_p(f: str, d1: str, d2: str) -> str:
+    """Upper tail of F: the beta integral over an angle, cut off where nothing is left of it."""
+    lo, hi = f"atan(sqrt(({d1}) * ({f}) / ({d2})))", f"least(1.5707963267948966, 14 / sqrt({d2}))"
+    c = f"2 * exp(lgamma((({d1}) + ({d2})) / 2.0) - lgamma(({d1}) / 2.0) - lgamma(({d2}) / 2.0))"
+    tail = area_sql(f"pow(cos(§), ({d2}) - 1) * pow(sin(§), ({d1}) - 1)", lo, hi, 2000)
+    return f"CASE WHEN {lo} < {hi} THEN {c} * {tail} ELSE 0 END"
+
+
+def bh_sql(table: str, keys: str, p: str = "pval", out: str = "padj") -> str:
+    """Common table ``adj``: the table with Benjamini and Hochberg's p-values within the keys."""
+    raw = f"SELECT *, {p} * count(*) OVER (PARTITION BY {keys}) / count(*) OVER (PARTITION BY {keys} ORDER BY {p}) AS q FROM {table}"
+    return f"adj AS (SELECT * EXCLUDE (q), least(min(q) OVER (PARTITION BY {keys} ORDER BY {p} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS {out} FROM ({raw}))"
+
+
 # Selection and metadata
 
 
@@ -370,17 +402,27 @@ def wilcoxon_ref(spark: SparkSession, d: str) -> DataFrame:
     return rounded(testing.rank_genes_groups(ad.orders(spark, d), "condition", reference="F"), "score").select("group", "gene", "score")
 
 
-@query(f"""WITH {O}, a AS (SELECT cell_id, annotation, c.cmp, condition AS grp FROM obs, (SELECT DISTINCT condition AS cmp FROM obs WHERE condition <> 'F') c WHERE condition IN ('F', c.cmp)), {wilcoxon_sql('annotation', 'a')},
-{grid_sql('annotation, condition', 'logc', 'exp(value) - 1')} SELECT z.annotation, grp AS "group", gene, {s6('score')} AS score, {s6('log2((x.t / x.n + 1e-9) / (y.t / y.n + 1e-9))')} AS log2fc, {s6('x.nz / x.n')} AS pts, {s6('y.nz / y.n')} AS pts_rest
-FROM z JOIN st x ON x.annotation = z.annotation AND x.condition = grp AND x.gene_id = gene JOIN st y ON y.annotation = z.annotation AND y.condition = 'F' AND y.gene_id = gene WHERE grp = cmp AND n1 >= 2 AND n2 >= 2""")
+RANKED_GENES = f"""WITH {O}, a AS (SELECT cell_id, annotation, c.cmp, condition AS grp FROM obs, (SELECT DISTINCT condition AS cmp FROM obs WHERE condition <> 'F') c WHERE condition IN ('F', c.cmp)), {wilcoxon_sql('annotation', 'a')},
+{grid_sql('annotation, condition', 'logc', 'exp(value) - 1')}, rk AS (SELECT z.annotation, grp AS "group", gene, score, {norm_p('score')} AS pval, log2((x.t / x.n + 1e-9) / (y.t / y.n + 1e-9)) AS log2fc, x.nz / x.n AS pts, y.nz / y.n AS pts_rest
+FROM z JOIN st x ON x.annotation = z.annotation AND x.condition = grp AND x.gene_id = gene JOIN st y ON y.annotation = z.annotation AND y.condition = 'F' AND y.gene_id = gene WHERE grp = cmp AND n1 >= 2 AND n2 >= 2), {bh_sql('rk', 'annotation, "group"')}"""
+P_DIGITS = 5
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    return testing.rank_genes_groups(ad.orders(spark, d), "condition", by="annotation", reference="F")
+
+
+@query(f"""{RANKED_GENES} SELECT annotation, "group", gene, {', '.join(f'{s6(c)} AS {c}' for c in ('score', 'log2fc', 'pts', 'pts_rest'))}, {', '.join(f'{s6(c, P_DIGITS)} AS {c}' for c in ('pval', 'padj'))} FROM adj""")
 def rank_genes_condition(spark: SparkSession, d: str) -> DataFrame:
-    t = testing.rank_genes_groups(ad.orders(spark, d), "condition", by="annotation", reference="F")
-    return rounded(t, "score", "log2fc", "pts", "pts_rest").drop("pval", "padj")
+    return rounded(rounded(_ranked(spark, d), "score", "log2fc", "pts", "pts_rest"), "pval", "padj", digits=P_DIGITS)
 
 
-@query()
+@query(f"""{RANKED_GENES} SELECT annotation, "group", gene AS "GeneName", {s6('score')} AS statistic, {s6('pval', P_DIGITS)} AS pvals, {s6('padj', P_DIGITS)} AS padj, {s6('log2fc')} AS log2fc, {s6('pts')} AS pts_group, {s6('pts_rest')} AS pts_ref
+FROM adj WHERE log2fc >= -0.1 AND padj <= 0.75""")
 def rank_genes_pvalues(spark: SparkSession, d: str) -> DataFrame:
-    return testing.dge_results(testing.rank_genes_groups(ad.orders(spark, d), "condition", by="annotation", reference="F"))
+    """The ranking under the names of result tables, filtered."""
+    t = testing.dge_results(_ranked(spark, d), min_log2fc=-0.1, padj_cutoff=0.75)
+    return rounded(rounded(t, "statistic", "log2fc", "pts_group", "pts_ref"), "pvals", "padj", digits=P_DIGITS)
 
 
 DGE = "d AS (SELECT annotation, groups, genename, pvals, log2fc, padj, pts_group, pts_ref FROM dge_results WHERE groups IS NOT NULL AND genename IS NOT NULL AND isfinite(pvals) AND isfinite(log2fc) AND isfinite(padj))"
@@ -420,32 +462,33 @@ def up_and_down(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {O}, {grid_sql('annotation, condition, batch', 'logc', 'exp(value) - 1')}, m AS (SELECT annotation, condition, gene_id AS gene, count(*) AS n, avg(ln(1 + t / n)) AS m, var_samp(ln(1 + t / n)) AS v FROM st GROUP BY ALL)
-SELECT a.gene, a.annotation, a.condition || '-Vs-' || b.condition AS condition, {s6('(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n))', 5)} AS statistic FROM m a JOIN m b ON a.gene = b.gene AND a.annotation = b.annotation AND a.condition < b.condition""")
+SELECT gene, annotation, c1 || '-Vs-' || c2 AS condition, {s6('t', 5)} AS statistic, {s6(t_p('t', 'df'), 5)} AS pval FROM (SELECT a.gene, a.annotation, a.condition AS c1, b.condition AS c2, a.n + b.n - 2 AS df, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS t
+ FROM m a JOIN m b ON a.gene = b.gene AND a.annotation = b.annotation AND a.condition < b.condition)""")
 def grouped_ttest(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(testing.grouped_ttest(ad.orders(spark, d)), "statistic", digits=5).drop("pval")
+    return rounded(testing.grouped_ttest(ad.orders(spark, d)), "statistic", "pval", digits=5)
 
 
 @query("""WITH g AS (SELECT o_orderpriority AS k, o_orderstatus AS g, count(*) AS n, sum(o_totalprice) AS s, sum(o_totalprice * o_totalprice) AS q FROM orders GROUP BY ALL), t AS (SELECT k AS p, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY 1)
-SELECT p AS o_orderpriority, round((b - s * s / n) / (k - 1) / ((q - b) / (n - k)), 5) AS statistic, k - 1 AS df1, CAST(n - k AS BIGINT) AS df2 FROM t""")
+SELECT o_orderpriority, round(f, 5) AS statistic, df1, df2, """ + s6(f_p("f", "df1", "df2"), 5) + """ AS pval FROM (SELECT p AS o_orderpriority, (b - s * s / n) / (k - 1) / ((q - b) / (n - k)) AS f, k - 1 AS df1, CAST(n - k AS BIGINT) AS df2 FROM t)""")
 def anova_f(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(testing.anova(ad.table(spark, d, "orders"), "o_totalprice", "o_orderstatus", ["o_orderpriority"]), "statistic", digits=5).drop("pval")
+    return rounded(testing.anova(ad.table(spark, d, "orders"), "o_totalprice", "o_orderstatus", ["o_orderpriority"]), "statistic", "pval", digits=5)
 
 
 RANKED = "r AS (SELECT *, rank() OVER (PARTITION BY o_orderpriority ORDER BY p) + (count(*) OVER (PARTITION BY o_orderpriority, p) - 1) / 2 AS r, CAST(count(*) OVER (PARTITION BY o_orderpriority, p) AS DOUBLE) AS c FROM o)"
 
 
 @query(f"""WITH o AS (SELECT o_orderpriority, o_orderstatus AS g, round(o_totalprice, -3) AS p FROM orders), {RANKED}, g AS (SELECT o_orderpriority, g, count(*) AS n, sum(r) AS r, sum(c * c - 1) AS t FROM r GROUP BY ALL), t AS (SELECT o_orderpriority, count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(r * r / n) AS s, sum(t) AS t FROM g GROUP BY 1)
-SELECT o_orderpriority, round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 5) AS statistic, k - 1 AS df FROM t""")
+SELECT o_orderpriority, round(h, 5) AS statistic, df, CASE df WHEN 2 THEN {s6('exp(-h / 2)', 5)} WHEN 1 THEN {s6(norm_p('sqrt(h)'), 5)} END AS pval FROM (SELECT o_orderpriority, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h, k - 1 AS df FROM t)""")
 def kruskal_h(spark: SparkSession, d: str) -> DataFrame:
     o = ad.table(spark, d, "orders").withColumn("p", F.round("o_totalprice", -3))
-    return rounded(testing.kruskal(o, "p", "o_orderstatus", ["o_orderpriority"]), "statistic", digits=5).drop("pval")
+    return rounded(testing.kruskal(o, "p", "o_orderstatus", ["o_orderpriority"]), "statistic", "pval", digits=5)
 
 
 @query(f"""WITH o AS (SELECT o_orderpriority, o_orderstatus AS g, round(o_totalprice, -3) AS p FROM orders WHERE o_orderstatus IN ('F', 'P')), {RANKED}, t AS (SELECT o_orderpriority, CAST(count(*) FILTER (g = 'F') AS DOUBLE) AS a, CAST(count(*) FILTER (g = 'P') AS DOUBLE) AS b, sum(r) FILTER (g = 'F') AS r, sum(c * c - 1) AS t FROM r GROUP BY 1),
-u AS (SELECT *, r - a * (a + 1) / 2 AS u FROM t) SELECT o_orderpriority, u AS statistic, round(greatest((greatest(u, a * b - u) - a * b / 2 - 0.5) / sqrt(a * b / 12 * (a + b + 1 - t / ((a + b) * (a + b - 1)))), 0), 6) AS z FROM u""")
+u AS (SELECT *, r - a * (a + 1) / 2 AS u FROM t) SELECT o_orderpriority, u AS statistic, round(greatest((greatest(u, a * b - u) - a * b / 2 - 0.5) / sqrt(a * b / 12 * (a + b + 1 - t / ((a + b) * (a + b - 1)))), 0), 6) AS z, {s6(norm_p('z'), 5)} AS pval FROM u""")
 def mannwhitney_u(spark: SparkSession, d: str) -> DataFrame:
     o = ad.table(spark, d, "orders").withColumn("p", F.round("o_totalprice", -3))
-    return rounded(testing.mann_whitney(o, "p", "o_orderstatus", "F", "P", ["o_orderpriority"]), "z").drop("pval")
+    return rounded(testing.mann_whitney(o, "p", "o_orderstatus", "F", "P", ["o_orderpriority"]), "z").withColumn("pval", r6("pval", 5))
 
 
 # Views
@@ -478,10 +521,10 @@ def heatmap_foldchange(spark: SparkSession, d: str) -> DataFrame:
     return rounded(views.heatmap_foldchange(ad.orders(spark, d), group_by="annotation", condition_key="condition", reference="F"), "log2fc")
 
 
-@query(f"""WITH {DGE}, c AS (SELECT genename AS gene, greatest(least(log2fc, 6), -6) AS log2fc, greatest(padj, 2e-10) AS padj FROM d) SELECT gene, log2fc, {s6('padj', 9)} AS padj, {s6('-log10(padj)')} AS y, CASE WHEN padj < 0.05 AND log2fc > 0.25 THEN 'Up' WHEN padj < 0.05 AND log2fc < -0.25 THEN 'Down' WHEN padj < 0.05 THEN 'P' WHEN abs(log2fc) > 0.25 THEN 'LFC' ELSE 'NS' END AS class
-FROM c WHERE padj < 1 AND padj > 2e-10 AND log2fc > -6 AND log2fc < 6""")
+@query(f"""WITH {DGE}, c AS (SELECT genename AS gene, greatest(least(log2fc, 6), -6) AS log2fc, greatest(padj, 2e-10) AS padj FROM d) SELECT gene, log2fc, {s6('padj', 9)} AS padj, {s6('-log10(padj)')} AS y, CASE WHEN padj < 0.05 AND log2fc > 0.25 THEN 'Up' WHEN padj < 0.05 AND log2fc < -0.25 THEN 'Down' WHEN padj < 0.05 THEN 'P' WHEN abs(log2fc) > 0.25 THEN 'LFC' ELSE 'NS' END AS class, class IN ('Up', 'Down') AND rank() OVER (PARTITION BY class ORDER BY abs(log2fc) DESC, gene) <= 10 AS label
+FROM c WHERE c.padj < 1 AND c.padj > 2e-10 AND c.log2fc > -6 AND c.log2fc < 6""")
 def volcano_classes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(views.volcano(_dge(spark, d), gene="genename"), "y"), "padj", digits=9).drop("label")
+    return rounded(rounded(views.volcano(_dge(spark, d), gene="genename"), "y"), "padj", digits=9)
 
 
 PROFILE = f"{O}, {grid_sql('annotation', 'logc', 'exp(value) - 1')}, m AS (SELECT annotation AS g, gene_id, ln(1 + t / n) AS m FROM st)"
@@ -517,9 +560,9 @@ def cell_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {COMPOSED}, v AS (SELECT annotation, condition, ln(((n + 0.5) / (t + 1)) / (1 - (n + 0.5) / (t + 1))) AS v FROM g), s AS (SELECT annotation, condition, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM v GROUP BY ALL), z AS (SELECT annotation, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM s GROUP BY 1)
-SELECT annotation, {s6('(b - s * s / n) / (k - 1) / ((q - b) / (n - k))', 5)} AS statistic, k - 1 AS df1, CAST(n - k AS BIGINT) AS df2 FROM z""")
+SELECT annotation, {s6('f', 5)} AS statistic, df1, df2, {s6(f_p('f', 'df1', 'df2'), 5)} AS pval FROM (SELECT annotation, (b - s * s / n) / (k - 1) / ((q - b) / (n - k)) AS f, k - 1 AS df1, CAST(n - k AS BIGINT) AS df2 FROM z)""")
 def composition_test(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.composition_test(_known(spark, d), annot_key="annotation", condition_key="condition", batch_key="batch"), "statistic", digits=5).drop("pval")
+    return rounded(views.composition_test(_known(spark, d), annot_key="annotation", condition_key="condition", batch_key="batch"), "statistic", "pval", digits=5)
 
 
 @query(f"""WITH {ad.SETS}, t AS (SELECT term, avg(padj) AS p, regexp_extract(term, '[^:]*$') AS c FROM sets GROUP BY term), v AS (SELECT upper(term[1]) || lower(term[2:]) AS term, c AS condition, CASE WHEN c = 'disease' THEN 1 ELSE -1 END * -log10(greatest(p, 1e-300)) AS v FROM t)
@@ -610,11 +653,13 @@ def ora_hierarchical(spark: SparkSession, d: str) -> DataFrame:
     return ora.cluster_terms(_sims(spark, d, "jaccard"), ad.sets(spark, d))
 
 
-@query(f"""WITH {ad.SETS}, m AS (SELECT DISTINCT term, gene FROM sets), g AS (SELECT DISTINCT genename AS gene FROM dge_results WHERE log2fc > 2 AND NOT isnan(log2fc) AND genename IS NOT NULL)
-SELECT term, CAST(count(g.gene) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n_set, CAST((SELECT count(*) FROM g) AS DOUBLE) AS n_genes, CAST((SELECT count(*) FROM (SELECT gene FROM m UNION SELECT gene FROM g)) AS DOUBLE) AS universe FROM m LEFT JOIN g USING (gene) GROUP BY term HAVING count(g.gene) > 0""")
+@query(f"""WITH {ad.SETS}, m AS (SELECT DISTINCT term, gene FROM sets), g AS (SELECT DISTINCT genename AS gene FROM dge_results WHERE log2fc > 2 AND NOT isnan(log2fc) AND genename IS NOT NULL),
+e AS (SELECT term, CAST(count(g.gene) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n_set, CAST((SELECT count(*) FROM g) AS DOUBLE) AS n_genes, CAST((SELECT count(*) FROM (SELECT gene FROM m UNION SELECT gene FROM g)) AS DOUBLE) AS universe FROM m LEFT JOIN g USING (gene) GROUP BY term HAVING count(g.gene) > 0)
+SELECT *, round(least(list_sum(list_transform(range(CAST(k AS BIGINT), CAST(least(n_set, n_genes) AS BIGINT) + 1), lambda i: exp(lgamma(n_set + 1) - lgamma(i + 1) - lgamma(n_set - i + 1) + CASE WHEN n_genes - i > universe - n_set THEN -1e9
+ ELSE lgamma(universe - n_set + 1) - lgamma(n_genes - i + 1) - lgamma(greatest(universe - n_set - n_genes + i, 0) + 1) END - lgamma(universe + 1) + lgamma(n_genes + 1) + lgamma(universe - n_genes + 1)))), 1), 5) + 0.0 AS pval FROM e""")
 def enrichment(spark: SparkSession, d: str) -> DataFrame:
     genes = ad.table(spark, d, "dge_results").where("log2fc > 2 AND NOT isnan(log2fc) AND genename IS NOT NULL").select(F.col("genename").alias("gene"))
-    return ora.enrichment(genes, ad.sets(spark, d)).drop("pval")
+    return rounded(ora.enrichment(genes, ad.sets(spark, d)), "pval", digits=5)
 
 
 # Neighbours and integration
@@ -775,12 +820,12 @@ def filter_by_expr(spark: SparkSession, d: str) -> DataFrame:
     return models.filter_by_expr(b, "cond")
 
 
-@query(f"""WITH {BULKS}, n AS (SELECT *, ln(1 + expr * 1e4 / sum(expr) OVER (PARTITION BY annotation, sample)) AS v FROM bk), s AS (SELECT annotation, gene, cond, count(*) AS n, avg(v) AS m, var_samp(v) AS q FROM n GROUP BY ALL)
-SELECT a.annotation AS "group", a.gene AS "GeneName", {s6('(a.m - b.m) / sqrt(((a.n - 1) * a.q + (b.n - 1) * b.q) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n))', 5)} AS statistic, {s6('log2((exp(a.m) - 1 + 1e-9) / (exp(b.m) - 1 + 1e-9))')} AS log2fc
-FROM s a JOIN s b ON a.annotation = b.annotation AND a.gene = b.gene AND a.cond = 'O' AND b.cond = 'F' WHERE a.n > 1 AND b.n > 1""")
+@query(f"""WITH {BULKS}, n AS (SELECT *, ln(1 + expr * 1e4 / sum(expr) OVER (PARTITION BY annotation, sample)) AS v FROM bk), s AS (SELECT annotation, gene, cond, count(*) AS n, avg(v) AS m, var_samp(v) AS q FROM n GROUP BY ALL), ct AS (SELECT a.annotation AS "group", a.gene AS "GeneName", a.n + b.n - 2 AS df, (a.m - b.m) / sqrt(((a.n - 1) * a.q + (b.n - 1) * b.q) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS statistic, log2((exp(a.m) - 1 + 1e-9) / (exp(b.m) - 1 + 1e-9)) AS log2fc
+FROM s a JOIN s b ON a.annotation = b.annotation AND a.gene = b.gene AND a.cond = 'O' AND b.cond = 'F' WHERE a.n > 1 AND b.n > 1), cp AS (SELECT * EXCLUDE (df), {t_p('statistic', 'df')} AS pvals FROM ct), {bh_sql('cp', '"group"', 'pvals')}
+SELECT "group", "GeneName", {s6('statistic', 5)} AS statistic, {s6('log2fc')} AS log2fc, {s6('pvals', 5)} AS pvals, {s6('padj', 5)} AS padj FROM adj""")
 def cluster_ttest(spark: SparkSession, d: str) -> DataFrame:
     t = models.cluster_ttest(_bulk(spark, d).withColumnRenamed("annotation", "group"), ctrl="F", disease="O")
-    return rounded(rounded(t, "statistic", digits=5), "log2fc").select("group", "GeneName", "statistic", "log2fc")
+    return rounded(rounded(t, "statistic", "pvals", "padj", digits=5), "log2fc")
 
 
 @query()
@@ -808,10 +853,15 @@ def consensus(spark: SparkSession, d: str) -> DataFrame:
     return models.consensus(ad.orders(spark, d), ctrl_cond="F", disease_cond="O", cluster_key="annotation")
 
 
-@query()
+PLOTTED = " UNION ALL ".join(f"""SELECT o_orderpriority, '{g}' AS "group", a.n + b.n - 2 AS df, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS t FROM s a JOIN s b USING (o_orderpriority) WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = '{g}'""" for g in "OP")
+
+
+@query(f"""WITH s AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY ALL), p AS ({PLOTTED})
+SELECT o_orderpriority, "group", {s6('t', 5)} AS statistic, {s6(t_p('t', 'df'), 5)} AS pval FROM p""")
 def plot_pvalues(spark: SparkSession, d: str) -> DataFrame:
     o = ad.table(spark, d, "orders")
-    return plot_tests.compare_groups(o, value="o_totalprice", group="o_orderstatus", ctrl="F", groups=["O", "P"], test="t-test", category="o_orderpriority")
+    t = plot_tests.compare_groups(o, value="o_totalprice", group="o_orderstatus", ctrl="F", groups=["O", "P"], test="t-test", category="o_orderpriority")
+    return rounded(t, "statistic", "pval", digits=5)
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type, count(value) AS n, round(sum(value), 4) AS total, round(avg(value) + 1e-7, 4) AS mean FROM events GROUP BY ALL""")

@@ -25,19 +25,20 @@ def div(a: Column, b: Column) -> Column:
 def expr(exp: Experiment, *, features: Sequence[str] | None, groups: Any = None, out_format: str = "long", layer: str | None = None) -> DataFrame:
     """Values of the features in every cell. Long: ``cell_id, groups…, genes, expr``; wide: a column per feature.
 
-    Zeros are filled in by unfolding the list of features per cell, so the cost is that of the result.
+    Zeros are filled in from the grid of cells and features, so the cost is that of the result. Wide tables of all
+    genes have a column for each.
     """
     groups = as_list(groups)
     exp.require(groups)
     names = exp.genes(features)
-    listed = as_list(features) if features is not None else [r.gene_id for r in names.orderBy("gene_id").collect()]
-    values = exp.layer(layer).where(F.col("gene_id").isin(listed))
+    values = exp.layer(layer).join(names.select("gene_id"), "gene_id", "left_semi")
     if out_format == "wide":
+        listed = as_list(features) if features is not None else [r.gene_id for r in names.orderBy("gene_id").collect()]
         wide = values.groupBy("cell_id").pivot("gene_id", listed).agg(F.sum("value"))
         return exp.obs.select("cell_id", *groups).join(wide, "cell_id", "left").fillna(0.0, subset=listed)
     if out_format != "long":
         raise InputError("out_format is long or wide")
-    cells = exp.obs.select("cell_id", *groups, F.explode(F.array(*map(F.lit, listed))).alias("gene_id"))
+    cells = exp.obs.select("cell_id", *groups).crossJoin(names.select("gene_id"))  # the result's own size
     out = cells.join(values, ["cell_id", "gene_id"], "left")
     return out.select("cell_id", *groups, F.col("gene_id").alias("genes"), F.coalesce("value", F.lit(0.0)).alias("expr"))
 

@@ -21,6 +21,10 @@ from quantell.operators.expression import div, mean_expr, pcts_cells, pseudobulk
 from quantell.operators.expression import log2fc as fold_changes
 from quantell.operators.neighbours import dense_vectors
 from quantell.operators.testing import adjust, rank_genes_groups, with_two_sample_t
+from quantell.plans.shared import written
+
+#: Genes of a group that one task of a pseudobulk test fits.
+GENES_AT_ONCE = 256
 
 
 def logreg_scores(exp: Experiment, groupby: str, groups: Any = None, layer: str | None = None, c: float = 1.0, max_iter: int = 100) -> DataFrame:
@@ -171,53 +175,71 @@ def pseudobulk_test(
     b = pseudobulk(sub, batch_key="__sample", cluster_key=cluster_key, min_cells=min_cells, approach=approach, technical_replicates=technical_replicates, min_counts=min_counts, seed=seed)
     cond = F.regexp_replace(F.element_at(F.split("__sample", "\u001f"), -1), "_\\d+$", "") if technical_replicates > 1 else F.element_at(F.split("__sample", "\u001f"), -1)
     bulk = b.select(F.col(cluster_key).alias("group"), F.col("__sample").alias("sample"), "gene", "expr", cond.alias("cond"))
-    ready = bulk.join(size_factors(bulk, ["group"]), ["group", "sample"])
+    bulk = written(bulk)
+    sizes = size_factors(bulk, ["group"])
+    sides = bulk.select("group", "sample", "cond").distinct().groupBy("group").agg(F.count_if(F.col("cond") == disease_cond).alias("nd"), F.count_if(F.col("cond") == ctrl_cond).alias("nc"))
+    sides = sides.where("nd >= 2 AND nc >= 2").select("group", (F.col("nd") + F.col("nc")).alias("samples"))
+    parts = max(1, exp.var.count() // GENES_AT_ONCE)
+    ready = bulk.join(sizes, ["group", "sample"]).join(sides, "group").withColumn("part", F.pmod(F.xxhash64("gene"), F.lit(parts)))
+    ready = written(ready.select("group", "part", "gene", "sample", "samples", "expr", "size", (F.col("cond") == disease_cond).cast("double").alias("d")))
+
+    def each(pdf: pd.DataFrame):  # noqa: ANN202
+        """Counts, design and offsets of every gene; pseudobulks without counts of a gene are rows too."""
+        for gene, g in pdf.sort_values(["gene", "sample"]).groupby("gene"):
+            d = g["d"].to_numpy(float)
+            yield gene, np.round(g["expr"].to_numpy(float)), np.column_stack([np.ones(len(d)), d]), np.log(g["size"].to_numpy(float)), g
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(pdf["group"].iloc[0], gene, float((y / np.exp(off)).mean()), _dispersion(y, _nb_fit(x, y, off, 0.1)[2], 2), int(g["samples"].iloc[0])) for gene, y, x, off, g in each(pdf)]
+        return pd.DataFrame(rows, columns=["group", "gene", "base", "raw", "samples"])
+
+    raw = written(ready.groupBy("group", "part").applyInPandas(spread, "group string, gene string, base double, raw double, samples long"))
+    use = written(_shrunk(raw))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["GeneName", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "group"]
-        wide = pdf.pivot_table(index="gene", columns="sample", values="expr", fill_value=0.0).sort_index()
-        info = pdf.drop_duplicates("sample").set_index("sample").loc[wide.columns]
-        d = (info["cond"] == disease_cond).to_numpy(float)
-        if d.sum() < 2 or (1 - d).sum() < 2:
-            return pd.DataFrame(columns=cols)
-        x = np.column_stack([np.ones(len(d)), d])
-        off = np.log(info["size"].to_numpy(float))
-        y = np.round(wide.to_numpy(float))
-        base = (y / np.exp(off)).mean(1)
-        raw = np.empty(len(y))
-        for i in range(len(y)):
-            raw[i] = _dispersion(y[i], _nb_fit(x, y[i], off, 0.1)[2], 2)
-        big = (raw > 1e-7) & (base > 0)
-        if big.sum() >= 3:  # dispersion = c0 + c1 / mean
-            co = np.linalg.lstsq(np.column_stack([np.ones(big.sum()), 1 / base[big]]), raw[big], rcond=None)[0]
-            trend = np.maximum(co[0] + co[1] / np.maximum(base, 1e-8), 1e-4)
-        else:
-            trend = np.full(len(y), max(float(np.median(raw)), 1e-4))
-        spread = float(np.var(np.log(raw[big]) - np.log(trend[big]))) if big.sum() >= 3 else 1.0
-        noise = 2.0 / max(len(d) - 2, 1)
-        prior = max(spread - noise, 0.25)
-        a = np.exp((np.log(np.maximum(raw, 1e-8)) / noise + np.log(trend) / prior) / (1 / noise + 1 / prior))
         rows = []
-        for i, gene in enumerate(wide.index):
-            use = trend[i] if method == "edger" else a[i]
-            beta, cov, mu = _nb_fit(x, y[i], off, use)
+        for gene, y, x, off, g in each(pdf):
+            a, base = float(g["trend" if method == "edger" else "shrunk"].iloc[0]), float(g["base"].iloc[0])
+            beta, cov, mu = _nb_fit(x, y, off, a)
             se = float(np.sqrt(cov[1, 1]))
             if method == "deseq2":
                 stat = float(beta[1] / se)
                 p = float(2 * norm_sf_array(np.array([abs(stat)]))[0])
             else:
-                mu0 = _nb_fit(x[:, :1], y[i], off, use)[2]
-                dev1, dev0 = _deviance(y[i], mu, use), _deviance(y[i], mu0, use)
-                quasi = max(dev1 / (len(d) - 2), 1.0)
-                stat = max(0.0, dev0 - dev1) / quasi
-                p = float(f_sf_array(np.array([stat]), np.array([1.0]), np.array([len(d) - 2.0]))[0])
-            rows.append((gene, float(base[i]), float(beta[1] / np.log(2)), se / np.log(2), stat, p, pdf["group"].iloc[0]))
-        return pd.DataFrame(rows, columns=cols)
-
-    out = ready.groupBy("group").applyInPandas(fit, "GeneName string, baseMean double, log2FoldChange double, lfcSE double, stat double, pvalue double, group string")
+                dev1, dev0 = _deviance(y, mu, a), _deviance(y, _nb_fit(x[:, :1], y, off, a)[2], a)
+                stat = max(0.0, dev0 - dev1) / max(dev1 / (len(y) - 2), 1.0)
+                p = float(f_sf_array(np.array([stat]), np.array([1.0]), np.array([len(y) - 2.0]))[0])
+            rows.append((gene, base, float(beta[1] / np.log(2)), se / np.log(2), stat, p, pdf["group"].iloc[0]))
+        return pd.DataFrame(rows, columns=["GeneName", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "group"])
+
+    fitted = ready.drop("samples").join(use, ["group", "gene"])
+    out = fitted.groupBy("group", "part").applyInPandas(fit, "GeneName string, baseMean double, log2FoldChange double, lfcSE double, stat double, pvalue double, group string")
     return adjust(out, "pvalue", ["group"])
 
 
+def _shrunk(raw: DataFrame) -> DataFrame:
+    """``(group, gene, base, trend, shrunk)``: dispersions and their trend ``c0 + c1 / mean`` over all genes of a group.
+
+    The trend is a least squares line over the genes that vary more than counting does, from moments; a group with less
+    than three of them has its median dispersion. Each gene's dispersion is moved towards the trend by how far the
+    genes scatter around it.
+    """
+    big = (F.col("raw") > 1e-7) & (F.col("base") > 0)
+    inv, r = F.when(big, 1 / F.col("base")), F.when(big, F.col("raw"))
+    line = raw.groupBy("group").agg(
+        F.count(r).alias("k"), F.coalesce(F.covar_pop(inv, r) / F.nullif(F.var_pop(inv), F.lit(0.0)), F.lit(0.0)).alias("c1"), F.avg(inv).alias("mx"), F.avg(r).alias("my"),
+        F.expr("percentile(raw, 0.5)").alias("mid"),
+    )
+    curve = F.col("my") - F.col("c1") * F.col("mx") + F.col("c1") / F.greatest(F.col("base"), F.lit(1e-8))
+    trend = F.greatest(F.when(F.col("k") >= 3, curve).otherwise(F.col("mid")), F.lit(1e-4))
+    rows = raw.join(line, "group").withColumn("trend", trend)
+    gap = rows.groupBy("group").agg(F.var_pop(F.when(big, F.log("raw") - F.log("trend"))).alias("gap"))
+    noise = F.lit(2.0) / F.greatest(F.col("samples") - 2, F.lit(1))
+    prior = F.greatest(F.when(F.col("k") >= 3, F.col("gap")).otherwise(F.lit(1.0)) - noise, F.lit(0.25))
+    shrunk = F.exp((F.log(F.greatest("raw", F.lit(1e-8))) / noise + F.log("trend") / prior) / (1 / noise + 1 / prior))
+    return rows.join(gap, "group").select("group", "gene", "base", "trend", shrunk.alias("shrunk"))
+
+
 def filter_by_expr(bulk: DataFrame, group: str, min_count: float = 10, min_total: float = 15) -> DataFrame:
     """``gene`` of pseudobulks ``(sample, <group>, gene, expr)`` with enough counts in enough samples: counts per million above
     ``min_count`` at the median library size in as many samples as the smallest group has (in part beyond 10), and
@@ -253,6 +275,7 @@ def consensus(
     ``consensus_significant``; then the mean expression per condition.
     """
     names = {"log2FoldChange": f"log2fc_{test_pseudobulk}", "stat": f"stat_{test_pseudobulk}", "pvalue": f"pval_{test_pseudobulk}", "padj": f"padj_{test_pseudobulk}"}
+    exp = exp.settled(None, count_layer)  # read by both tests and the means
     sub = Experiment(exp.obs.where(F.col(condition_key).isin([ctrl_cond, disease_cond])), exp.var, exp.layers)
     sc = rank_genes_groups(sub, condition_key, by=cluster_key, reference=ctrl_cond, method=test)
     sc = sc.withColumnsRenamed({"gene": "GeneName", "score": "statistic", "pval": "pvals", "pts": "pts_group", "pts_rest": "pts_ref"})

@@ -282,9 +282,10 @@ def spatial_graph(spots: DataFrame, bandwidth: float = 100, cutoff: float = 0.1,
 
 
 def dense_vectors(exp: Experiment, genes: list[str], layer: str | None = None) -> DataFrame:
-    """``cell_id, vec`` over a bounded list of genes, zeros included."""
-    at = F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(i))])
-    v = exp.layer(layer).where(F.col("gene_id").isin(genes)).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct(at[F.col("gene_id")].alias("i"), "value"))).alias("m"))
+    """``cell_id, vec`` over a bounded list of genes, zeros included. The genes' places are joined as a small table."""
+    at = exp.obs.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene_id string, i int")
+    rows = exp.layer(layer).join(at, "gene_id")
+    v = rows.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
     out = exp.obs.select("cell_id").join(v, "cell_id", "left")
     return out.select("cell_id", F.transform(F.sequence(F.lit(0), F.lit(len(genes) - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vec"))
 
@@ -313,7 +314,6 @@ def doublet_neighbours(exp: Experiment, *, batch_key: str | None = None, layer:
 
 
 
-
 class Lists:
     """Centres of an inverted list index and the size of its vectors."""
 

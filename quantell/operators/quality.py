@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantell.experiment import Experiment, InputError, as_list, require_counts
 from quantell.operators.expression import div
+from quantell.plans.shared import settled
 
 #: Default gene families by lower-case prefix.
 PATTERNS: Mapping[str, Any] = {"mt": "mt-", "ribo": ("rbs", "rpl")}
@@ -84,7 +85,8 @@ def filter_cells_genes(
     """
     if min_counts is not None and low_quantile or max_counts is not None and high_quantile:
         raise InputError("give counts or quantiles as a bound, not both")
-    m = cell_metrics(exp, patterns, layer)
+    exp = exp.settled(layer, *exp.layers)
+    m = settled(cell_metrics(exp, patterns, layer))
     exp = replace(exp, obs=m).keep(cells=m.where(F.col("n_genes_by_counts") >= min_genes_in_cell))
     seen = exp.layer(layer).where("value <> 0")
     if batch_key:
@@ -114,6 +116,7 @@ def filter_cells_genes(
         obs = filter_quantiles(obs, low_quantile, high_quantile)
     if doublet_col:
         obs = obs.where(F.col(doublet_col) == "singlet")
+    obs = settled(obs)
     return replace(exp, obs=obs).keep(cells=obs)
 
 

@@ -16,7 +16,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = spark.read.parquet(f"{sf_dir}/cell_obs.parquet")
-    return cell_summaries(cells).withColumn("dominant", F.col("dominant").cast("int"))
+    out = cell_summaries(cells).withColumns({"dominant": F.col("dominant").cast("int"), "share": F.round("share", 9)})
+    for v in ("total_counts", "pct_counts_mt", "n_genes"):  # a mean that ends in a 5 is rounded up whatever the order of its sum
+        out = out.withColumns({f"{v}_mean": F.round(F.col(f"{v}_mean") + 1e-7, 4), f"{v}_sd": F.round(F.col(f"{v}_sd") + 1e-7, 3)})
+    return out
 
 
 _KEYED = f"""SELECT {clean_label_sql('annotation')} AS annotation, {clean_label_sql('batch')} AS batch,

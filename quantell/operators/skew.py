@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantell.functions.labels import clean_label
 from quantell.plans.shared import written
 
-#: Added before rounding, so that a mean that ends in a 5 is rounded up whatever the order of its sum.
-NUDGE = 1e-7
-
 
 def key_counts(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """``(k0, …, n)``: rows per key, written once. Counted map-side, so what is shuffled is a row per key and partition."""
@@ -37,7 +34,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[Column], share: float, counts: Data
 def salted_aggregate(
     df: DataFrame, keys: Mapping[str, Column], values: Mapping[str, Column], salts: int = 32, heavy_share: float = 0.01, counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Count, and per value: count, sum, sum of squares, least and greatest, of every key; two stages with salt.
+    """Count, and per value: count, sum, sum of squared deviations from the key's mean, least and greatest, of every key; two stages with salt.
 
     1. Keys holding ``heavy_share`` of the rows (at most ``1/heavy_share`` of them, hence broadcast) get one of
        ``salts`` salts per row. The salt is a hash of the row's values and its place in its partition, not ``rand()``,
@@ -45,7 +42,7 @@ def salted_aggregate(
     2. Partials are merged by key.
 
     Values that are null are left out of that value's figures only. Rows with a null key form keys of their own. The
-    result has the keys, ``n`` and ``<value>_n, _sum, _sumsq, _min, _max``; other columns of ``df`` don't matter.
+    result has the keys, ``n`` and ``<value>_n, _sum, _m2, _min, _max``; other columns of ``df`` don't matter.
     ``counts``: what :func:`key_counts` gave for the same keys, if it is at hand.
     """
     ks, vs = list(keys), list(values)
@@ -59,13 +56,17 @@ def salted_aggregate(
     salted = rows.join(F.broadcast(hot), same, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(F.lit(0)))
     first = [F.count("*").alias("n")]
     for v in vcols:
-        first += [F.count(v).alias(f"{v}_n"), F.sum(v).alias(f"{v}_sum"), F.sum(F.col(v) * F.col(v)).alias(f"{v}_sumsq"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
+        first += [F.count(v).alias(f"{v}_n"), F.sum(v).alias(f"{v}_sum"), (F.var_pop(v) * F.count(v)).alias(f"{v}_m2"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
     partial = salted.groupBy(*kcols, "salt").agg(*first)
+    of_key = Window.partitionBy(*kcols)  # at most ``salts`` partials
     merged = [F.sum("n").alias("n")]
     for v in vcols:
-        merged += [F.sum(f"{v}_n").alias(f"{v}_n"), F.sum(f"{v}_sum").alias(f"{v}_sum"), F.sum(f"{v}_sumsq").alias(f"{v}_sumsq"), F.min(f"{v}_min").alias(f"{v}_min"), F.max(f"{v}_max").alias(f"{v}_max")]
+        n, s = F.col(f"{v}_n"), F.col(f"{v}_sum")
+        mean = F.sum(s).over(of_key) / F.nullif(F.sum(n).over(of_key), F.lit(0))
+        partial = partial.withColumn(f"{v}_m2", F.coalesce(F.col(f"{v}_m2") + n * (s / F.nullif(n, F.lit(0)) - mean) ** 2, F.lit(0.0)))
+        merged += [F.sum(f"{v}_n").alias(f"{v}_n"), F.sum(f"{v}_sum").alias(f"{v}_sum"), F.sum(f"{v}_m2").alias(f"{v}_m2"), F.min(f"{v}_min").alias(f"{v}_min"), F.max(f"{v}_max").alias(f"{v}_max")]
     out = partial.groupBy(*kcols).agg(*merged)
-    names = {f"k{i}": k for i, k in enumerate(ks)} | {f"v{i}_{s}": f"{v}_{s}" for i, v in enumerate(vs) for s in ("n", "sum", "sumsq", "min", "max")}
+    names = {f"k{i}": k for i, k in enumerate(ks)} | {f"v{i}_{s}": f"{v}_{s}" for i, v in enumerate(vs) for s in ("n", "sum", "m2", "min", "max")}
     return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns])
 
 
@@ -90,12 +91,11 @@ def cell_summaries(cells: DataFrame, dominant_share: float = 0.05, salts: int =
     counts = key_counts(cells, list(keys.values()))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     out = salted_aggregate(cells, keys, values, salts, counts=counts).withColumn("total", F.lit(total))
-    cols = [F.col("annotation"), F.col("batch"), F.col("n").alias("n_rows"), F.round(F.col("n") / F.col("total"), 9).alias("share")]
+    cols = [F.col("annotation"), F.col("batch"), F.col("n").alias("n_rows"), (F.col("n") / F.col("total")).alias("share")]
     for v in values:
-        n, s, q = F.col(f"{v}_n"), F.col(f"{v}_sum"), F.col(f"{v}_sumsq")
-        mean = s / F.nullif(n, F.lit(0))
-        var = F.when(n > 1, F.greatest((q - s * mean) / F.nullif(n - 1, F.lit(0)), F.lit(0.0)))
-        cols += [n.alias(f"{v}_valid"), F.round(mean + NUDGE, 4).alias(f"{v}_mean"), F.round(F.sqrt(var) + NUDGE, 3).alias(f"{v}_sd"), F.col(f"{v}_min"), F.col(f"{v}_max")]
+        n = F.col(f"{v}_n")
+        sd = F.when(n > 1, F.sqrt(F.col(f"{v}_m2") / F.nullif(n - 1, F.lit(0))))
+        cols += [n.alias(f"{v}_valid"), (F.col(f"{v}_sum") / F.nullif(n, F.lit(0))).alias(f"{v}_mean"), sd.alias(f"{v}_sd"), F.col(f"{v}_min"), F.col(f"{v}_max")]
     known = F.col("annotation").isNotNull() & F.col("batch").isNotNull()
     dominant = known & (F.col("n") >= F.lit(dominant_share) * F.col("total"))
     return out.select(*cols, dominant.alias("dominant"))

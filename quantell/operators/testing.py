@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quantell.experiment import Experiment, InputError, as_list, compare
 from quantell.functions.special import chi2_sf, f_sf, norm_two_sided, t_two_sided
 from quantell.operators.expression import PSEUDO, div, group_stats
+from quantell.plans.shared import settled
 
 #: Buckets per doubling of a value.
 FINE = 64
@@ -23,21 +24,60 @@ TIE_DIGITS = 9
 METHODS = ("wilcoxon", "t-test", "t-test_overestim_var")
 
 
+def value_bucket(v: Column) -> Column:
+    """A whole number that never falls as the double ``v`` grows: ``FINE`` buckets per doubling of its size."""
+    size = F.floor(F.log2(F.abs(v)) * FINE) + FINE * 1200  # doubles go down to 2 to the -1074
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
+
+
+def _share_bucket(p: Column) -> Column:
+    """As :func:`value_bucket`, for values in [0, 1] most of which aren't small: 4096 buckets of one width above 1/64."""
+    return F.when(p >= 1 / 64, F.floor(p * 4096) + FINE * 1200).otherwise(value_bucket(p)).cast("int")
+
+
 def adjust(df: DataFrame, pval: str, keys: Sequence[str] = (), method: str = "benjamini-hochberg", out: str = "padj") -> DataFrame:
-    """Adjusted p-values within each group of ``keys``; a missing p-value stays missing and isn't counted."""
+    """Adjusted p-values within each group of ``keys``; a missing p-value, NaN included, stays missing and isn't counted.
+
+    Equal p-values are counted first. Ranks are running counts, over buckets of p and then inside them, and so are the
+    least values from above, so no group is gathered in one task; the results are joined to the rows by group and p.
+    """
     keys = list(keys)
-    p = F.col(pval)
-    if method == "bonferroni":
-        m = F.count(pval).over(Window.partitionBy(*keys))
-        return df.withColumn(out, F.least(p * m, F.lit(1.0)))
-    if method != "benjamini-hochberg":
+    if method not in ("benjamini-hochberg", "bonferroni"):
         raise InputError("method is benjamini-hochberg or bonferroni")
-    w = Window.partitionBy(*keys)
-    up = w.orderBy(p.asc_nulls_last())
-    m, rank = F.count(pval).over(w), F.count(pval).over(up)  # the count up to and with ties
-    raw = df.withColumn("__q", p * m / F.nullif(rank, F.lit(0)))
-    least = F.min("__q").over(w.orderBy(p.asc_nulls_last()).rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    return raw.withColumn(out, F.when(p.isNotNull(), F.least(least, F.lit(1.0)))).drop("__q")
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    ks = list(names.values())
+    p = F.when(~F.isnan(pval), F.col(pval).cast("double"))
+    rows = settled(df).withColumn("__p", p)
+    counts = rows.where("__p IS NOT NULL").groupBy(*[F.col(k).alias(n) for k, n in names.items()], F.col("__p").alias("__v")).agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__b", _share_bucket(F.col("__v")))
+    buckets = counts.groupBy(*ks, "__b").agg(F.sum("__c").alias("__n"))
+    over = Window.partitionBy(*ks)
+    buckets = buckets.select(*ks, "__b", (F.sum("__n").over(over.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(over).alias("__m"))
+
+    def same(a: DataFrame, b: DataFrame, cols: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
+        on = F.lit(True)
+        for x, y in cols:
+            on = on & a[x].eqNullSafe(b[y])
+        return a.join(b, on, how)
+
+    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+        right = b.withColumnsRenamed({k: f"{k}r" for k in [*ks, "__b"]})
+        return same(a, right, [(k, f"{k}r") for k in [*ks, "__b"]]).drop(*[f"{k}r" for k in [*ks, "__b"]])
+
+    counts = beside(counts, buckets)
+    inside = Window.partitionBy(*ks, "__b")
+    if method == "bonferroni":
+        adjusted = counts.withColumn("__q", F.least(F.col("__v") * F.col("__m"), F.lit(1.0)))
+    else:
+        rank = F.col("__before") + F.sum("__c").over(inside.orderBy("__v"))  # rows up to and with ties
+        raw = counts.withColumn("__q", F.col("__v") * F.col("__m") / rank)
+        later = raw.groupBy(*ks, "__b").agg(F.min("__q").alias("__least"))
+        later = later.withColumn("__later", F.min("__least").over(over.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1))).drop("__least")
+        own = F.min("__q").over(inside.orderBy(F.desc("__v")).rowsBetween(Window.unboundedPreceding, 0))
+        adjusted = beside(raw, later).withColumn("__q", F.least(own, F.coalesce("__later", F.lit(1.0)), F.lit(1.0)))
+    adjusted = adjusted.select(*ks, "__v", F.col("__q").alias("__out"))
+    found = same(rows, adjusted, [*names.items(), ("__p", "__v")], "left") if ks else rows.join(adjusted, rows["__p"] == adjusted["__v"], "left")
+    return found.withColumn(out, F.when(F.col("__p").isNotNull(), F.col("__out"))).drop(*ks, "__p", "__v", "__out")
 
 
 def check_groups(exp: Experiment, groupby: str, groups: Any = "all", reference: str = "rest") -> list[str]:
@@ -168,6 +208,7 @@ def rank_genes_groups(
         wanted = check_groups(exp, groupby, groups, reference)
     elif groups not in ("all", None):
         wanted = as_list(groups)
+    exp = exp.settled(layer)
     stats = two_sample_stats(exp, groupby, by, reference, layer, logcounts)
     if method == "wilcoxon":
         z = with_z(rank_sums(exp, groupby, by, reference, layer), tie_correct).select(*by, "group", "gene", "score", "pval")
@@ -251,33 +292,40 @@ def grouped_ttest(
 
 
 def anova(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by…, statistic, df1, df2, pval``: one-way analysis of variance from counts, sums and squares."""
+    """``by…, statistic, df1, df2, pval``: one-way analysis of variance from counts, means and variances of the groups."""
     by = list(by)
-    g = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    t = g.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
-    f = div(div(between, F.col("k") - 1), div(within, F.col("n") - F.col("k")))
+    v = F.col(value).cast("double")
+    g = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group).agg(F.count(value).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(value)).alias("w"))
+    over = Window.partitionBy(*by)  # a row per group
+    g = g.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(over) / F.sum("n").over(over))
+    t = g.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("b"))
+    f = div(div(F.col("b"), F.col("k") - 1), div(F.col("w"), F.col("n") - F.col("k")))
     out = t.select(*by, f.alias("statistic"), (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"))
     return out.withColumn("pval", f_sf("statistic", F.col("df1").cast("double"), F.col("df2").cast("double")))
 
 
-def mid_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``rank`` (mid-rank within ``by``), ``ties`` (rows of the same value) and ``n_all``; for tables of observations of a plot.
+def observed_ranks(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by…, group, n, r, t``: rows, sum of mid-ranks within ``by``, and the sum of ties² − 1, of each group.
 
-    The rows of one value of ``by`` are ranked in one task; see :func:`rank_sums` for matrices of any size.
+    As in :func:`rank_sums` values are counted first and ranked inside buckets, so no category is ranked in one task.
     """
     by = list(by)
-    w = Window.partitionBy(*by)
-    c = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumns({"ties": c, "rank": F.rank().over(w.orderBy(value)) + (c - 1) / 2, "n_all": F.count("*").over(w)})
+    rows = df.select(*by, group, (F.col(value).cast("double") + 0.0).alias("__v")).where(F.col("__v").isNotNull() & F.col(group).isNotNull())
+    own = rows.groupBy(*by, group, "__v").agg(F.count("*").cast("double").alias("n"))
+    values = own.groupBy(*by, "__v").agg(F.sum("n").alias("c")).withColumn("b", value_bucket(F.col("__v")))
+    buckets = values.groupBy(*by, "b").agg(F.sum("c").alias("bn"))
+    buckets = buckets.select(*by, "b", (F.sum("bn").over(Window.partitionBy(*by).orderBy("b")) - F.col("bn")).alias("before"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "b").orderBy("__v"))
+    ranked = values.withColumn("upto", upto).join(buckets, [*by, "b"]).select(*by, "__v", "c", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2).alias("mid"))
+    j = own.join(ranked, [*by, "__v"])
+    return j.groupBy(*by, group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mid")).alias("r"), F.sum(F.col("n") * (F.col("c") * F.col("c") - 1)).alias("t"))
 
 
 def kruskal(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """``by…, statistic, df, pval``: Kruskal-Wallis H with tie correction."""
     by = list(by)
-    r = mid_ranks(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()), value, by)
-    g = r.groupBy(*by, group).agg(F.count("*").alias("n"), F.sum("rank").alias("r"), F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("t"))
-    t = g.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").alias("t"))
+    g = observed_ranks(df, value, group, by)
+    t = g.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").alias("t"))
     n = F.col("n")
     h = div(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - div(F.col("t"), n * n * n - n))
     return t.select(*by, h.alias("statistic"), (F.col("k") - 1).alias("df")).withColumn("pval", chi2_sf("statistic", F.col("df").cast("double")))
@@ -286,11 +334,10 @@ def kruskal(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> Da
 def mann_whitney(df: DataFrame, value: str, group: str, ctrl: str, other: str, by: Sequence[str] = ()) -> DataFrame:
     """``by…, statistic, z, pval``: U of ``ctrl`` against ``other``, with tie and continuity correction."""
     by = list(by)
-    r = mid_ranks(df.where(F.col(value).isNotNull() & F.col(group).isin([ctrl, other])), value, by)
     one = F.col(group) == ctrl
-    t = r.groupBy(*by).agg(
-        F.count(F.when(one, 1)).cast("double").alias("n1"), F.count(F.when(~one, 1)).cast("double").alias("n2"), F.sum(F.when(one, F.col("rank"))).alias("r"),
-        F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("t"),
+    t = observed_ranks(df.where(F.col(group).isin([ctrl, other])), value, group, by).groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(one, F.col("n"))), F.lit(0.0)).alias("n1"), F.coalesce(F.sum(F.when(~one, F.col("n"))), F.lit(0.0)).alias("n2"),
+        F.sum(F.when(one, F.col("r"))).alias("r"), F.sum("t").alias("t"),
     )
     n1, n2 = F.col("n1"), F.col("n2")
     n, u = n1 + n2, F.col("r") - n1 * (n1 + 1) / 2

@@ -84,7 +84,7 @@ def heatmap_foldchange(exp: Experiment, *, group_by: str, condition_key: str, re
 
 
 def volcano(df: DataFrame, *, gene: str = "GeneName", lfc: str = "log2fc", pval: str = "padj", lfc_cut: float = 0.25, pval_cut: float = 0.05, clean: bool = True, topn: int = 10) -> DataFrame:
-    """``gene, log2fc, padj, y, class, label``: points with clamped values, their class and whether they are labelled.
+    """``gene, log2fc, padj, y, class, label``: points with clamped values, their class and whether they are labelled, the ``topn`` farthest of ``Up`` and of ``Down``, ties by gene and copies alike.
 
     Classes by strict bounds: ``NS``, ``LFC`` only, ``P`` only, ``Up`` and ``Down``. ``clean`` drops p of 1 and clamped points.
     """
@@ -96,10 +96,12 @@ def volcano(df: DataFrame, *, gene: str = "GeneName", lfc: str = "log2fc", pval:
     sig, big = F.col("padj") < pval_cut, F.abs("log2fc") > lfc_cut
     cls = F.when(sig & big & (F.col("log2fc") > 0), "Up").when(sig & big, "Down").when(sig, "P").when(big, "LFC").otherwise("NS")
     out = out.withColumns({"y": -F.log10("padj"), "class": cls})
-    up = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("log2fc"), "gene"))
-    down = F.row_number().over(Window.partitionBy("class").orderBy("log2fc", "gene"))
-    lab = ((F.col("class") == "Up") & (up <= topn)) | ((F.col("class") == "Down") & (down <= topn))
-    return out.withColumn("label", lab)
+    far = F.struct((-F.abs("log2fc")).alias("f"), "gene")
+    last = None  # the place of the last labelled point of both classes: two rows are broadcast
+    for c in ("Up", "Down"):
+        top = out.where(F.col("class") == c).select(far.alias("far")).orderBy("far").limit(topn).agg(F.max("far").alias("last")).withColumn("class", F.lit(c))
+        last = top if last is None else last.union(top)
+    return out.join(F.broadcast(last), "class", "left").withColumn("label", F.coalesce(far <= F.col("last"), F.lit(False))).select(*out.columns, "label")
 
 
 def correlation(exp: Experiment, *, group_by: str = "batch", method: str = "pearson", layer: str | None = None) -> DataFrame:

@@ -37,6 +37,16 @@ def written(df: DataFrame) -> DataFrame:
     return back
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as it is if reading it again is a plain scan, with filters and columns at most; else written once.
+
+    For what an operator reads more than once.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    again = any(node in plan for node in ("Join", "Aggregate", "Window", "MapIn", "FlatMap", "Generate", "Distinct", "Sort"))
+    return written(df) if again else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`written` returned, once nothing that is still to run reads it."""
     path = getattr(df, "_written_at", None)
