@@ -585,11 +585,13 @@ def kde_1d(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_returnflag", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
-@query()
+@query(f"""WITH {ad.VECTORS}, p AS (SELECT annotation AS g, vec[1] AS x, vec[2] AS y FROM vecs), s AS (SELECT g, count(*) AS n, pow(count(*), -1.0 / 6) * 0.5 * sqrt(greatest(var_samp(x), 1e-10)) AS hx, pow(count(*), -1.0 / 6) * 0.5 * sqrt(greatest(var_samp(y), 1e-10)) AS hy FROM p GROUP BY g),
+e AS (SELECT min(x) AS lx, max(x) AS ux, min(y) AS ly, max(y) AS uy FROM p), c AS (SELECT CAST(i AS INTEGER) AS gx, CAST(j AS INTEGER) AS gy, lx + (ux - lx) * i / 49 AS x, ly + (uy - ly) * j / 49 AS y FROM e, range(50) a(i), range(50) b(j))
+SELECT g AS annotation, gx, gy, round(c.x, 6) + 0.0 AS x, round(c.y, 6) + 0.0 AS y, round(sum(exp(-pow((c.x - p.x) / hx, 2) / 2 - pow((c.y - p.y) / hy, 2) / 2)) / any_value(n * hx * hy * 6.283185307179586), 7) + 0.0 AS density FROM p JOIN s USING (g), c GROUP BY g, gx, gy, c.x, c.y""")
 def density_2d(spark: SparkSession, d: str) -> DataFrame:
     exp = ad.vectors(spark, d)
     p = exp.obsm["X_emb"].select("cell_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")).join(exp.obs, "cell_id")
-    return views.density_2d(p, x="x", y="y", by="annotation")
+    return rounded(rounded(views.density_2d(p, x="x", y="y", by="annotation"), "x", "y"), "density", digits=7)
 
 
 # Gene sets
@@ -622,7 +624,7 @@ GRAPH = f"{JACCARD}, bo AS (SELECT a, b, s FROM sim WHERE s >= {THRESHOLD} UNION
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    return ora.similarity_graph(_sims(spark, d, "jaccard"), 5, THRESHOLD)
+    return ora.similarity_graph(ora.similarities(ad.sets(spark, d), "jaccard", all_pairs=False), 5, THRESHOLD)
 
 
 @query(f"WITH {GRAPH} SELECT a, b, round(s, 9) AS s FROM gr")
@@ -672,31 +674,55 @@ def knn(spark: SparkSession, d: str) -> DataFrame:
     return nb.knn(ad.vectors(spark, d).obsm["X_emb"])
 
 
+@query(f"WITH {PAIRS} SELECT src, dst, {s6('d')} AS dist, CAST(row_number() OVER (PARTITION BY src ORDER BY round(d, 6), dst) AS INTEGER) AS place FROM dd WHERE src <> dst AND la = lb QUALIFY place <= 15")
+def knn_within(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of the same label, as reclustering links them."""
+    exp = ad.vectors(spark, d)
+    return nb.knn(exp.obsm["X_emb"].join(exp.obs.select("cell_id", "annotation"), "cell_id"), within="annotation")
+
+
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Batch b0, and all other batches: every vector is in one of both sets."""
     exp = ad.vectors(spark, d)
-    v = exp.obsm["X_emb"].join(exp.obs, "cell_id")
-    return tuple(v.where(F.col("batch") == b).select("cell_id", "vec") for b in ("b0", "b1"))
+    v = written(exp.obsm["X_emb"].join(exp.obs, "cell_id"))
+    return v.where("batch = 'b0'").select("cell_id", "vec"), v.where("batch <> 'b0'").select("cell_id", "vec")
 
 
-NEAR = f"{PAIRS}, ne AS (SELECT src, dst, ba, bb, round(d, 6) AS d, row_number() OVER (PARTITION BY src, bb ORDER BY round(d, 6), dst) AS p FROM dd), an AS (SELECT x.src AS cell_a, x.dst AS cell_b, x.d AS dist FROM ne x JOIN ne y ON x.src = y.dst AND x.dst = y.src WHERE x.ba = 'b0' AND x.bb = 'b1' AND x.p <= 5 AND y.p <= 5)"
+SIDES = f"{ad.VECTORS}, sv AS MATERIALIZED (SELECT cell_id, batch = 'b0' AS a, vec FROM vecs)"
+CROSS = f"""{SIDES}, cr AS MATERIALIZED (SELECT x.cell_id AS cell_a, y.cell_id AS cell_b, round(list_distance(x.vec, y.vec), 6) AS dist FROM sv x JOIN sv y ON x.a AND NOT y.a),
+an AS MATERIALIZED (SELECT cell_a, cell_b, dist FROM (SELECT *, row_number() OVER (PARTITION BY cell_a ORDER BY dist, cell_b) AS p, row_number() OVER (PARTITION BY cell_b ORDER BY dist, cell_a) AS q FROM cr) WHERE p <= 5 AND q <= 5)"""
+SCORED = f"""{CROSS}, ne AS MATERIALIZED (SELECT src, dst FROM (SELECT x.cell_id AS src, y.cell_id AS dst, row_number() OVER (PARTITION BY x.cell_id, y.a ORDER BY round(list_distance(x.vec, y.vec), 6), y.cell_id) AS p FROM sv x, sv y) WHERE p <= 30),
+sh AS (SELECT cell_a, cell_b, count(y.dst) AS shared FROM an JOIN ne x ON x.src = cell_a LEFT JOIN ne y ON y.src = cell_b AND y.dst = x.dst GROUP BY ALL), qs AS (SELECT quantile_cont(shared, 0.01) AS lo, quantile_cont(shared, 0.9) AS hi FROM sh),
+sc AS MATERIALIZED (SELECT cell_a, cell_b, shared, greatest(least(coalesce((shared - lo) / nullif(hi - lo, 0), 0), 1), 0) AS score FROM sh, qs)"""
 
 
-@query(f"WITH {NEAR} SELECT cell_a, cell_b, dist + 0.0 AS dist FROM an")
+@query(f"WITH {CROSS} SELECT cell_a, cell_b, dist + 0.0 AS dist FROM an")
 def mnn_anchors(spark: SparkSession, d: str) -> DataFrame:
     return nb.mutual_neighbours(*_two(spark, d), 5)
 
 
-@query(f"""WITH {NEAR}, sh AS (SELECT cell_a, cell_b, dist, (SELECT count(*) FROM ne x JOIN ne y ON x.dst = y.dst WHERE x.src = cell_a AND y.src = cell_b AND x.p <= 30 AND y.p <= 30 AND x.bb IN ('b0', 'b1') AND y.bb IN ('b0', 'b1')) AS shared FROM an),
-q AS (SELECT quantile_cont(shared, 0.01) AS lo, quantile_cont(shared, 0.9) AS hi FROM sh) SELECT cell_a, cell_b, CAST(shared AS INTEGER) AS shared, {s6('greatest(least(coalesce((shared - lo) / nullif(hi - lo, 0), 0), 1), 0)')} AS score FROM sh, q""")
+@query(f"WITH {SCORED} SELECT cell_a, cell_b, CAST(shared AS INTEGER) AS shared, {s6('score')} AS score FROM sc")
 def anchor_scores(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two(spark, d)
     return rounded(nb.score_anchors(nb.mutual_neighbours(a, b, 5), a, b), "score").drop("dist")
 
 
-@query()
+@query(f"""WITH {CROSS}, ln AS (SELECT cell_id, list_transform(vec, lambda v: v / sqrt(list_sum(list_transform(vec, lambda w: w * w)))) AS u, a FROM sv), nr AS (SELECT x.cell_id AS cell_a, y.cell_id AS cell_b FROM ln x JOIN ln y ON x.a AND NOT y.a
+ QUALIFY row_number() OVER (PARTITION BY x.cell_id ORDER BY round(greatest(list_sum(list_transform(list_zip(x.u, y.u), lambda p: pow(p[1] - p[2], 2))), 0) / 2, 6), y.cell_id) <= 20) SELECT cell_a, cell_b, dist + 0.0 AS dist FROM an JOIN nr USING (cell_a, cell_b)""")
+def anchors_filtered(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _two(spark, d)
+    return nb.filter_anchors(nb.mutual_neighbours(a, b, 5), a, b, 20)
+
+
+@query(f"""WITH {SCORED}, ends AS (SELECT DISTINCT cell_a FROM an), kn AS MATERIALIZED (SELECT src, cell_a, d, max(d) OVER (PARTITION BY src) AS far FROM (SELECT x.cell_id AS src, y.cell_id AS cell_a, round(list_distance(x.vec, y.vec), 6) AS d FROM sv x JOIN sv y ON x.a AND y.a AND y.cell_id IN (SELECT cell_a FROM ends)
+ QUALIFY row_number() OVER (PARTITION BY x.cell_id ORDER BY d, y.cell_id) <= 100)),
+wt AS (SELECT src, x.vec AS va, y.vec AS vb, 1 - exp(-(1 - coalesce(d / nullif(far, 0), 0)) * score / 4) AS w FROM kn JOIN sc USING (cell_a) JOIN sv x ON x.cell_id = sc.cell_a JOIN sv y ON y.cell_id = sc.cell_b),
+mv AS (SELECT src, i, sum(w * (vb[i] - va[i])) / nullif(sum(w), 0) AS b FROM wt, (SELECT unnest(range(1, (SELECT len(any_value(vec)) FROM sv) + 1)) AS i) GROUP BY ALL)
+SELECT cell_id, CAST(i - 1 AS INTEGER) AS place, {s6('vec[i] + coalesce(b, 0)', 5)} AS value FROM sv JOIN mv ON src = cell_id WHERE a""")
 def anchor_correction(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two(spark, d)
-    return nb.correct_by_anchors(a, b, nb.score_anchors(nb.mutual_neighbours(a, b, 5), a, b))
+    moved = nb.correct_by_anchors(a, b, nb.score_anchors(nb.mutual_neighbours(a, b, 5), a, b))
+    return rounded(moved.select("cell_id", F.posexplode("vec").alias("place", "value")), "value", digits=5)
 
 
 EDGES = f"{PAIRS}, ed AS (SELECT src, dst, la, lb FROM dd WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(d, 6), dst) <= 5), un AS (SELECT src, dst, la, lb FROM ed UNION SELECT dst, src, lb, la FROM ed)"
@@ -935,8 +961,11 @@ def barplot_points(spark: SparkSession, d: str) -> DataFrame:
     return rounded(views.barplot(ad.orders(spark, d), x_axis="condition", feature="Brand#1", batch_key="batch"), "expr")
 
 
-@query()
+@query(f"""WITH {O}, {REST}, a AS (SELECT cell_id, '' AS cmp, condition AS grp FROM obs), {wilcoxon_sql('', 'a')}, rk AS (SELECT grp AS condition, z.gene, log2fc, {norm_p('score')} AS pval FROM z JOIN ss ON ss."group" = grp AND ss.gene = z.gene), {bh_sql('rk', 'condition')},
+kp AS (SELECT * FROM adj WHERE padj < 0.05 AND log2fc > 0) SELECT g.gene_id AS gene, g.condition, {s6('ln(1 + g.t / g.n)')} AS expr, {s6('g.nz / g.n')} AS pct, {s6('coalesce(kp.padj, 1)', 5)} AS padj, CASE WHEN kp.padj < 0.05 THEN '*' ELSE '' END AS star
+FROM st g LEFT JOIN kp ON kp.gene = g.gene_id AND kp.condition = g.condition""")
 def dotplot_stars(spark: SparkSession, d: str) -> DataFrame:
     exp = ad.orders(spark, d)
     r = testing.rank_genes_groups(exp, "condition").withColumnRenamed("group", "condition")
-    return testing.significance_grid(r, views.dotplot(exp, x_axis="condition", features=None), ["gene", "condition"])
+    grid = testing.significance_grid(r, views.dotplot(exp, x_axis="condition", features=None), ["gene", "condition"])
+    return rounded(rounded(grid, "expr", "pct"), "padj", digits=5)

@@ -54,20 +54,23 @@ def silhouettes(vectors: DataFrame, obs: DataFrame, cluster: str, within: str |
         x = matrix(tb.column("vec"), dim, np.float64)
         ids, c, w = tb.column("cell_id"), np.array(tb.column("c").to_pylist(), object), np.array(tb.column("w").to_pylist(), object)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[tuple] = []
+        key = pa.concat_arrays(ids.chunks).to_numpy(zero_copy_only=False)
+        at, other, total = [], [], []
         for g in sorted(set(w[a]) & set(w[b])):
             ra, rb = a[w[a] == g], b[w[b] == g]
             names, code = np.unique(c[rb].astype(str), return_inverse=True)
-            one = np.eye(len(names))[code]
             d2 = (x[ra] ** 2).sum(1)[:, None] + (x[rb] ** 2).sum(1)[None] - 2 * x[ra] @ x[rb].T
             d = np.sqrt(np.maximum(d2, 0))
-            same = np.array(ids.take(pa.array(ra)).to_pylist(), object)[:, None] == np.array(ids.take(pa.array(rb)).to_pylist(), object)[None]
-            d[same] = 0.0
-            s = d @ one
-            for j, name in enumerate(names):
-                out.extend((int(r), name, float(v)) for r, v in zip(ra, s[:, j], strict=True))
-        at = [o[0] for o in out]
-        return pa.table({"cell_id": ids.take(pa.array(at, pa.int64())), "c": pa.array([c[i] for i in at], pa.string()), "w": pa.array([w[i] for i in at], pa.string()), "o": pa.array([o[1] for o in out], pa.string()), "s": pa.array([o[2] for o in out], pa.float64())})
+            d[key[ra][:, None] == key[rb][None]] = 0.0
+            at.append(np.repeat(ra, len(names)))
+            other.append(np.tile(names, len(ra)))
+            total.append((d @ np.eye(len(names))[code]).ravel())
+        rows_ = np.concatenate(at) if at else np.zeros(0, np.int64)
+        kept = pa.array(rows_, pa.int64())
+        return pa.table({
+            "cell_id": ids.take(kept), "c": tb.column("c").take(kept), "w": tb.column("w").take(kept), "o": pa.array(np.concatenate(other) if other else [], pa.string()),
+            "s": pa.array(np.concatenate(total) if total else [], pa.float64()),
+        })
 
     per = rows.union(cols).groupBy("t", "u").applyInArrow(sums, f"cell_id {kind}, c string, w string, o string, s double")
     per = per.groupBy("cell_id", "c", "w", "o").agg(F.sum("s").alias("s"))

@@ -25,10 +25,11 @@ def parse_genes(df: DataFrame, term: str, genes: str) -> DataFrame:
     return df.select(F.col(term).alias("term"), F.explode(F.array_distinct(F.transform(sep, lambda x: F.trim(x)))).alias("gene")).where("gene <> ''").distinct()
 
 
-def similarities(members: DataFrame, how: str = "overlap") -> DataFrame:
-    """``a, b, s`` of all terms a before b, 0 where nothing is shared; ``members`` are (term, gene).
+def similarities(members: DataFrame, how: str = "overlap", all_pairs: bool = True) -> DataFrame:
+    """``a, b, s`` of terms a before b; ``members`` are (term, gene).
 
-    Shared genes are counted by a join on the gene; terms that share none are filled in, as the measures ask.
+    Shared genes are counted by a join on the gene. With ``all_pairs`` terms that share none are filled in, as the full
+    matrix asks; without only pairs that share a gene come out, which is all that a graph above a threshold needs.
     """
     if how not in SIMILARITIES:
         raise InputError(f"how is one of {SIMILARITIES}")
@@ -37,7 +38,8 @@ def similarities(members: DataFrame, how: str = "overlap") -> DataFrame:
     a, b = members.withColumnRenamed("term", "a"), members.withColumnRenamed("term", "b")
     both = a.join(b, "gene").where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("k"))
     na, nb = sizes.withColumnsRenamed({"term": "a", "n": "na"}), sizes.withColumnsRenamed({"term": "b", "n": "nb"})
-    grid = na.join(nb, F.col("a") < F.col("b")).join(both, ["a", "b"], "left").withColumn("k", F.coalesce("k", F.lit(0.0)))  # a row per pair: the result's size
+    pairs = na.join(nb, F.col("a") < F.col("b")) if all_pairs else both.select("a", "b").join(na, "a").join(nb, "b")
+    grid = pairs.join(both, ["a", "b"], "left").withColumn("k", F.coalesce("k", F.lit(0.0)))  # a row per pair: the result's size
     k, x, y = F.col("k"), F.col("na"), F.col("nb")
     if how == "overlap":
         s = F.coalesce(div(k, F.least(x, y)), F.lit(0.0))

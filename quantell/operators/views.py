@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,6 @@ def heatmap(exp: Experiment, *, keys: Any, features: Sequence[str] | None = None
 
 def heatmap_order(df: DataFrame, row: str, col: str, value: str, method: str = "complete", most: int = 5000) -> list:
     """Rows of a heatmap in dendrogram order; the matrix, groups × features of a plot, is held by the driver."""
-    import numpy as np
 
     from quantell.operators.ora import leaf_order, linkage
 
@@ -214,20 +215,35 @@ def density_2d(points: DataFrame, *, x: str, y: str, weight: str | None = None,
     p = points.select(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), (F.col(by) if by else F.lit("")).alias("g"))
     p = p.where("px IS NOT NULL AND py IS NOT NULL AND w > 0")
     w = F.sum("w")
-    s = p.groupBy("g").agg(
+    # moments around the middle of all points, so that squares don't cancel
+    s = p.crossJoin(F.broadcast(p.agg(F.avg("px").alias("mx"), F.avg("py").alias("my")))).groupBy("g").agg(  # one row is broadcast
         w.alias("n"), (w * w / F.sum(F.col("w") * F.col("w"))).alias("neff"),
-        *[(F.sum(F.col("w") * F.col(c) * F.col(c)) / w - (F.sum(F.col("w") * F.col(c)) / w) ** 2).alias(f"v{c}") for c in ("px", "py")],
+        *[(F.sum(F.col("w") * d * d) / w - (F.sum(F.col("w") * d) / w) ** 2).alias(f"v{c}") for c, d in (("px", F.col("px") - F.col("mx")), ("py", F.col("py") - F.col("my")))],
     )
     h = lambda c: F.pow("neff", F.lit(-1 / 6)) * bw_adjust * F.sqrt(F.greatest(F.col(c) * F.col("neff") / F.greatest(F.col("neff") - 1, F.lit(1.0)), F.lit(1e-10)))
     s = s.select("g", "n", h("vpx").alias("hx"), h("vpy").alias("hy"))
     ends = p.agg(*[f(c).alias(f"{n}{c}") for c in ("px", "py") for n, f in (("lo", F.min), ("hi", F.max))])
-    ii = F.sequence(F.lit(0), F.lit(gridsize - 1))
-    grid = ends.withColumn("gx", F.explode(ii)).withColumn("gy", F.explode(ii))
-    at = lambda c, g: F.col(f"lo{c}") + (F.col(f"hi{c}") - F.col(f"lo{c}")) * F.col(g) / (gridsize - 1)
-    grid = grid.select("gx", "gy", at("px", "gx").alias("x"), at("py", "gy").alias("y"))
-    d = p.join(s, "g").crossJoin(F.broadcast(grid))  # gridsize² rows are broadcast
-    k = F.sum(F.col("w") * _kernel((F.col("x") - F.col("px")) / F.col("hx")) * _kernel((F.col("y") - F.col("py")) / F.col("hy")) / (F.col("n") * F.col("hx") * F.col("hy") * 6.283185307179586))
-    out = d.groupBy("g", "gx", "gy", "x", "y").agg(k.alias("density"))
+    rows = p.join(s, "g").crossJoin(F.broadcast(ends)).select("g", "px", "py", "w", "n", "hx", "hy", "lopx", "hipx", "lopy", "hipy")  # one row is broadcast
+    kind = dict(rows.dtypes)["g"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A point's kernel is a product over both axes, so those of a batch sum up in one product of matrices."""
+        held: dict[object, np.ndarray] = {}
+        for b in batches:
+            px, py, weight, n, hx, hy, *bounds = (b.column(i).to_numpy() for i in range(1, 11))
+            names = b.column(0).dictionary_encode()
+            code, at = names.indices.to_numpy(zero_copy_only=False), np.arange(gridsize) / max(gridsize - 1, 1)
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                r = np.flatnonzero(code == k)
+                one, two = (np.exp(-(((lo[r][:, None] + (hi - lo)[r][:, None] * at - x[r][:, None]) / width[r][:, None]) ** 2) / 2) for lo, hi, x, width in ((bounds[0], bounds[1], px, hx), (bounds[2], bounds[3], py, hy)))
+                held[name] = held.get(name, 0) + one.T @ (two * (weight / (n * hx * hy * 6.283185307179586))[r][:, None])
+        for name, m in held.items():
+            gx, gy = np.indices(m.shape)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * m.size), pa.array(gx.ravel().astype(np.int32)), pa.array(gy.ravel().astype(np.int32)), pa.array(m.ravel())], ["g", "gx", "gy", "d"])
+
+    at = lambda c, g: F.col(f"lo{c}") + (F.col(f"hi{c}") - F.col(f"lo{c}")) * F.col(g) / max(gridsize - 1, 1)
+    out = rows.where("g IS NOT NULL").mapInArrow(sums, f"g {kind}, gx int, gy int, d double").groupBy("g", "gx", "gy").agg(F.sum("d").alias("density"))
+    out = out.crossJoin(F.broadcast(ends)).select("g", "gx", "gy", at("px", "gx").alias("x"), at("py", "gy").alias("y"), "density")
     return out.withColumnRenamed("g", by) if by else out.drop("g")
 
 
