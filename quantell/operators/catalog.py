@@ -14,6 +14,7 @@ from quantell.operators import expression as e
 from quantell.operators import integration_quality as iq
 from quantell.operators import neighbours as nb
 from quantell.operators import models, ora, plot_tests, quality, reduction, testing, views
+from quantell.operators.communities import leiden
 from quantell.plans import adapters as ad
 from quantell.plans import pipelines
 from quantell.plans.shared import written
@@ -808,11 +809,34 @@ def harmony_embedding(spark: SparkSession, d: str) -> DataFrame:
     return reduction.harmony(exp.obsm["X_emb"], exp.obs, "batch")
 
 
+@query(f"""WITH RECURSIVE {ad.VECTORS}, ne AS MATERIALIZED (SELECT src, dst, d FROM (SELECT a.cell_id AS src, b.cell_id AS dst, round(list_distance(a.vec, b.vec), 6) AS d FROM vecs a JOIN vecs b ON a.cell_id <> b.cell_id) QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 14),
+rh AS (SELECT src, coalesce(min(CASE WHEN d > 0 THEN d END), 0) AS rho, avg(d) AS own FROM ne GROUP BY 1), ov AS MATERIALIZED (SELECT ne.*, greatest(d - rho, 0) AS o, rho, own FROM ne JOIN rh USING (src)), li AS MATERIALIZED (SELECT src, list(o) AS o FROM ov GROUP BY 1),
+bi(src, it, lo, hi, mid) AS (SELECT src, 0, 0.0::DOUBLE, 'infinity'::DOUBLE, 1.0::DOUBLE FROM li UNION ALL SELECT src, it + 1, CASE WHEN s > log2(15) THEN lo ELSE mid END, CASE WHEN s > log2(15) THEN mid ELSE hi END, CASE WHEN s > log2(15) THEN (lo + mid) / 2 WHEN isinf(hi) THEN mid * 2 ELSE (mid + hi) / 2 END
+ FROM (SELECT bi.*, list_sum(list_transform(o, lambda v: exp(-v / mid))) AS s FROM bi JOIN li USING (src)) WHERE it < 64),
+we AS (SELECT src, dst, exp(-o / greatest(mid, 1e-3 * CASE WHEN rho > 0 THEN own ELSE (SELECT avg(d) FROM ne) END)) AS w FROM ov JOIN bi USING (src) WHERE it = 64), bo AS (SELECT src, dst, w FROM we UNION ALL SELECT dst, src, w FROM we)
+SELECT src, dst, {s6('CASE WHEN count(*) = 2 THEN sum(w) - product(w) ELSE max(w) END', 5)} AS weight FROM bo GROUP BY ALL""")
+def fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(nb.neighbour_graph(ad.vectors(spark, d).obsm["X_emb"]), "weight", digits=5)
+
+
 @query()
 def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Leiden communities of the fuzzy graph."""
+    return leiden(nb.neighbour_graph(ad.vectors(spark, d).obsm["X_emb"]))
+
+
+@query()
+def label_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Communities by label propagation."""
     return nb.spread_labels(nb.neighbour_graph(ad.vectors(spark, d).obsm["X_emb"]))
 
 
+@query()
+def ora_leiden(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(spark, d)
+    return ora.cluster_terms(g, ad.sets(spark, d), "leiden", graph=g)
+
+
 @query(f"""WITH sp AS (SELECT o_orderkey AS cell_id, CAST(o_custkey AS DOUBLE) AS x, CAST(epoch(o_orderdate) // 86400 AS DOUBLE) / 5 AS y FROM orders), ed AS (SELECT a.cell_id AS src, b.cell_id AS dst, exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 8) AS weight FROM sp a JOIN sp b ON abs(a.x - b.x) < 5 AND abs(a.y - b.y) < 5)
 SELECT src, dst, {s6('weight')} AS weight FROM ed WHERE weight >= 0.1 OR src = dst""")
 def spatial_graph(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantell.experiment import InputError
 from quantell.functions.special import hypergeom_sf
+from quantell.operators.communities import leiden
 from quantell.operators.components import connected_components
 from quantell.operators.expression import div
 
@@ -129,8 +130,9 @@ def leaf_order(n: int, merges: Sequence[tuple[int, int, float]]) -> list[int]:
     return out
 
 
-def cluster_terms(sims: DataFrame, terms: DataFrame, algorithm: str = "hierarchical", method: str = "complete", threshold: float = 0.7, graph: DataFrame | None = None) -> DataFrame:
-    """``term, cluster``: by hierarchical clustering of ``1 - s`` (up to ``MOST_TERMS`` terms), components or label propagation of the graph."""
+def cluster_terms(sims: DataFrame, terms: DataFrame, algorithm: str = "hierarchical", method: str = "complete", threshold: float = 0.7, graph: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
+    """``term, cluster``: by hierarchical clustering of ``1 - s`` (up to ``MOST_TERMS`` terms), or components, label propagation or
+    Leiden communities (of ``resolution``) of the graph."""
     if algorithm == "hierarchical":
         names = [r.term for r in terms.select("term").distinct().orderBy("term").limit(MOST_TERMS + 1).collect()]
         if len(names) > MOST_TERMS:
@@ -146,14 +148,14 @@ def cluster_terms(sims: DataFrame, terms: DataFrame, algorithm: str = "hierarchi
         raise InputError("this algorithm needs the graph")
     if algorithm == "components":
         return drop_small(graph, terms, 1).withColumnRenamed("component", "cluster")
-    if algorithm == "propagation":
+    if algorithm in ("propagation", "leiden"):
         from quantell.operators.neighbours import spread_labels
 
         both = graph.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("s").alias("weight"))
         both = both.union(both.select("dst", "src", "weight"))
-        lab = spread_labels(both).withColumnRenamed("cell_id", "term")
+        lab = (leiden(both, resolution) if algorithm == "leiden" else spread_labels(both)).withColumnRenamed("cell_id", "term")
         return terms.select("term").distinct().join(lab, "term", "left").select("term", F.coalesce("label", "term").alias("cluster"))
-    raise InputError("algorithm is hierarchical, components or propagation")
+    raise InputError("algorithm is hierarchical, components, propagation or leiden")
 
 
 def representatives(clusters: DataFrame, graph: DataFrame, pvals: DataFrame, how: str = "pval", most: int | None = None) -> DataFrame:

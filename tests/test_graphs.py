@@ -60,10 +60,25 @@ def test_exact_neighbours_within_a_group(spark, tile):
 def test_recluster_links_cells_whose_nearest_are_of_other_clusters(spark):
     rng = np.random.default_rng(13)
     x = rng.normal(0, 0.1, (200, 3))
-    x[:8] += 0.5 * np.arange(8)[:, None]  # eight cells of one cluster, each amid or beside many of the other
-    obs = spark.createDataFrame([(i, "few" if i < 8 else "many") for i in range(200)], "cell_id long, c string")
+    x[:30] = rng.normal(0, 0.1, (30, 3))  # thirty cells of one cluster, each amid many of the other
+    obs = spark.createDataFrame([(i, "few" if i < 30 else "many") for i in range(200)], "cell_id long, c string")
     got = {r.cell_id: r.recluster for r in nb.recluster(obs, points(spark, x), "c", k=7).collect()}
-    assert len(got) == 200 and {got[i] for i in range(8)} == {"few_0"}
+    alone = {r.cell_id: r.recluster for r in nb.recluster(obs.where("c = 'few'"), points(spark, x), "c", k=7).collect()}
+    assert len(got) == 200 and {i: got[i] for i in range(30)} == alone and len(set(alone.values())) < 8
+
+
+def test_fuzzy_weights_sum_to_the_logarithm_of_k(spark):
+    rng = np.random.default_rng(3)
+    near = nb.knn(points(spark, rng.normal(size=(50, 4))), None, 9)
+    sums: dict[int, float] = {}
+    nearest: dict[int, float] = {}
+    for r in nb.fuzzy_weights(near, 10).collect():
+        sums[r.src] = sums.get(r.src, 0) + r.weight
+        nearest[r.src] = max(nearest.get(r.src, 0), r.weight)
+    assert sums == pytest.approx(dict.fromkeys(range(50), np.log2(10)), abs=1e-4) and set(nearest.values()) == {1.0}
+    same = nb.fuzzy_weights(nb.knn(points(spark, np.zeros((5, 4))), None, 3), 4).collect()
+    assert len(same) == 15 and all(r.weight == 1 for r in same)
+    assert nb.fuzzy_weights(near.limit(0), 10).count() == 0
 
 
 def test_search_by_lists_reaches_its_recall(spark):
