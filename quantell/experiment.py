@@ -194,6 +194,18 @@ def categories(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
 
 
+def difference(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose key isn't in ``other``; repeated rows stay, and so do rows with a null key."""
+    on = as_list(on)
+    return df.join(other.select(*on), on, "left_anti")
+
+
+def unpivot(df: DataFrame, keys: str | Sequence[str], name: str, value: str) -> DataFrame:
+    """A row per key and further column: its name and its value; nulls stay. The columns must be of one kind."""
+    keys = as_list(keys)
+    return df.unpivot(keys, [c for c in df.columns if c not in keys], name, value)
+
+
 def matrix_state(exp: Experiment, layer: str | None = None) -> DataFrame:
     """One row about a layer's values: how many, NaN, negative, not whole; what raw counts and tests require."""
     v = F.col("value")

@@ -160,6 +160,42 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return nb.majority_labels(ad.cells(spark, d).select("cell_id", "leiden", "autoannot"), "leiden", "autoannot").select("cell_id", "leiden", "majority")
 
 
+@query(f"WITH {O} SELECT cell_id, gene_id, value FROM counts JOIN obs USING (cell_id) WHERE batch = 'BUILDING'")
+def slide_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of one slide, here a batch."""
+    return ex.select_slide(ad.orders(spark, d), "BUILDING", "batch").layer("counts")
+
+
+@query(f"WITH {O} SELECT DISTINCT condition FROM obs WHERE condition IS NOT NULL")
+def condition_levels(spark: SparkSession, d: str) -> DataFrame:
+    return ex.categories(ad.orders(spark, d).obs, "condition")
+
+
+@query(f"WITH {O} SELECT name, n_values, n_nan, n_negative, n_fractional FROM (SELECT 'counts' AS name, count(*) AS n_values, count(*) FILTER (isnan(value)) AS n_nan, count(*) FILTER (value < 0) AS n_negative, count(*) FILTER (value <> floor(value)) AS n_fractional FROM counts UNION ALL SELECT 'X', count(*), count(*) FILTER (isnan(value)), count(*) FILTER (value < 0), count(*) FILTER (value <> floor(value)) FROM logc)")
+def matrix_states(spark: SparkSession, d: str) -> DataFrame:
+    """What tells raw counts from other layers."""
+    exp = ad.orders(spark, d)
+    return ex.matrix_state(exp, "counts").withColumn("name", F.lit("counts")).union(ex.matrix_state(exp).withColumn("name", F.lit("X")))
+
+
+@query("SELECT DISTINCT p_brand AS gene_id, lower(p_brand) LIKE 'brand#1%' AS one, lower(p_brand) LIKE 'brand#2%' OR lower(p_brand) LIKE 'brand#3%' AS others FROM part")
+def gene_families(spark: SparkSession, d: str) -> DataFrame:
+    return quality.flag_genes(ad.orders(spark, d).var, {"one": "Brand#1", "others": ("brand#2", "BRAND#3")})
+
+
+@query("SELECT o_orderkey AS cell_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def row_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that aren't among those of another table."""
+    line = ad.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("cell_id"))
+    return ex.difference(ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id")), line, "cell_id")
+
+
+@query(f"WITH {O}, {grid_sql('condition', 'logc', 'exp(value) - 1')} SELECT gene_id AS gene, condition, {s6('ln(1 + t / n)')} AS expr FROM st")
+def wide_to_long(spark: SparkSession, d: str) -> DataFrame:
+    """A table of a column per group brought back to a row per group."""
+    return rounded(ex.unpivot(e.mean_expr(ad.orders(spark, d), group_by="condition", out_format="wide"), "gene", "condition", "expr"), "expr")
+
+
 # Grouped aggregation
 
 
@@ -249,6 +285,17 @@ def metacells_median(spark: SparkSession, d: str) -> DataFrame:
     return e.metacells(ad.orders(spark, d), batch_key="batch", annotation_key="annotation", agg_fx="median")
 
 
+@query(META + f" SELECT metacell, batch, annotation, gene_id AS gene, {s6('avg(coalesce(value, 0))')} AS expr FROM (SELECT * FROM m, var) LEFT JOIN counts USING (cell_id, gene_id) GROUP BY ALL")
+def metacells_mean(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(e.metacells(ad.orders(spark, d), batch_key="batch", annotation_key="annotation", agg_fx="mean"), "expr")
+
+
+@query(META + " SELECT metacell, batch, annotation, gene_id AS gene, CAST(count(*) FILTER (value <> 0) AS DOUBLE) AS expr FROM (SELECT * FROM m, var) LEFT JOIN counts USING (cell_id, gene_id) GROUP BY ALL")
+def metacells_nonzero(spark: SparkSession, d: str) -> DataFrame:
+    out = e.metacells(ad.orders(spark, d), batch_key="batch", annotation_key="annotation", agg_fx="count_nonzero")
+    return out.withColumn("expr", F.col("expr").cast("double"))
+
+
 @query(f"""WITH {O}, {grid_sql('condition', 'logc', 'exp(value) - 1')} SELECT gene_id AS gene, condition, n AS n_cells, {s6('ln(1 + t / n)')} AS logmean,
  {s6('ln(1 + sqrt(greatest((q - t * t / n) / (n - 1), 0) / n))', 5)} AS logsem FROM st""")
 def lineplot_sem(spark: SparkSession, d: str) -> DataFrame:
@@ -651,6 +698,16 @@ def ora_representatives(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ora.representatives(clusters, g, sets.groupBy("term").agg(F.round(F.avg("padj"), 12).alias("padj"))), "degree")
 
 
+@query(f"""{COMPONENTS}, p AS (SELECT term, round(avg(padj), 12) AS padj FROM sets GROUP BY term), dg AS (SELECT term, sum(s) AS degree FROM (SELECT a AS term, s FROM gr UNION ALL SELECT b, s FROM gr) GROUP BY 1)
+SELECT component AS cluster, term, padj, {s6('coalesce(degree, 0)')} AS degree FROM co JOIN p USING (term) LEFT JOIN dg USING (term) QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(coalesce(degree, 0), 9) DESC, term) = 1""")
+def ora_central_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Representatives by weighted degree."""
+    sets = ad.sets(spark, d)
+    g = _graph(spark, d)
+    clusters = ora.cluster_terms(g, sets, "components", graph=g)
+    return rounded(ora.representatives(clusters, g, sets.groupBy("term").agg(F.round(F.avg("padj"), 12).alias("padj")), "degree"), "degree")
+
+
 @query()
 def ora_hierarchical(spark: SparkSession, d: str) -> DataFrame:
     return ora.cluster_terms(_sims(spark, d, "jaccard"), ad.sets(spark, d))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
 import re
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from io import BytesIO
 from typing import Any
 from xml.etree import ElementTree
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quantell.experiment import Experiment, InputError
 from quantell.operators.testing import up_and_down
@@ -155,29 +159,138 @@ def read_counts_csv(spark: SparkSession, path: str, delimiter: str = ",") -> Dat
 
 
 def read_counts(spark: SparkSession, path: str, counts_file: str) -> Experiment:
-    """Counts by the suffix of the file: csv and txt tables or MatrixMarket folders; HDF5 needs a package that isn't there."""
+    """Counts by the suffix of the file: csv and txt tables or MatrixMarket folders; 10x HDF5 files need ``h5py``."""
     if counts_file.endswith((".mtx", ".mtx.gz")):
         return read_10x_mtx(spark, path)
     if counts_file.endswith((".csv", ".txt")):
         x = read_counts_csv(spark, f"{path}/{counts_file}", "," if counts_file.endswith(".csv") else "\t")
         return Experiment(x.select("cell_id").distinct(), x.select("gene_id").distinct(), {"X": x})
     if counts_file.endswith(".h5"):
-        return read_h5ad(spark, f"{path}/{counts_file}")
+        return read_10x_h5(spark, f"{path}/{counts_file}")
     raise InputError(f"can't read {counts_file}")
 
 
-def read_h5ad(spark: SparkSession, path: str) -> Experiment:
-    """HDF5 files, where ``anndata`` is installed; it reads the file on the driver."""
+#: Cells (or genes, of a matrix stored by genes) that a task reads from an HDF5 or zarr matrix at a time.
+ROWS_AT_ONCE = 10_000
+
+
+def _opened(path: str) -> Any:
+    """The root group of an HDF5 file or a zarr folder; their packages are imported where it is read."""
+    name = "zarr" if path.rstrip("/").endswith(".zarr") else "h5py"
     try:
-        import anndata
+        package = importlib.import_module(name)
     except ImportError as e:
-        raise ModuleNotFoundError("reading HDF5 needs the package anndata; convert to a bundle (write_bundle) instead") from e
-    a = anndata.read_h5ad(path)
-    coo = a.X.tocoo()
-    obs = a.obs.rename_axis("cell_id").reset_index()
-    var = a.var.rename_axis("gene_id").reset_index()
-    x = spark.createDataFrame([(obs["cell_id"].iloc[i], var["gene_id"].iloc[j], float(v)) for i, j, v in zip(coo.row, coo.col, coo.data, strict=True)], "cell_id string, gene_id string, value double")
-    return Experiment(spark.createDataFrame(obs), spark.createDataFrame(var), {"X": x})
+        raise ModuleNotFoundError(f"reading {path} needs the package {name}; or convert it to a bundle (write_bundle)") from e
+    return package.open(path, mode="r") if name == "zarr" else package.File(path, "r")
+
+
+def _texts(values: Any) -> list:
+    return [v.decode() if isinstance(v, bytes) else v for v in np.asarray(values).tolist()]
+
+
+def _index(group: Any) -> Any:
+    """The array of row names of a stored table."""
+    return group[_texts([group.attrs.get("_index", "_index")])[0]]
+
+
+def _column(stored: Any, a: int, b: int) -> list:
+    """Rows a to b of a stored column; categories are looked up, a code below 0 is missing."""
+    if hasattr(stored, "keys"):
+        names = _texts(stored["categories"][:])
+        return [names[c] if c >= 0 else None for c in np.asarray(stored["codes"][a:b]).tolist()]
+    return _texts(stored[a:b])
+
+
+def _table_rows(root: Any, name: str, key: str, a: int, b: int) -> pd.DataFrame:
+    group = root[name]
+    index = _texts([group.attrs.get("_index", "_index")])[0]
+    cols = [c for c in _texts(group.attrs.get("column-order", [k for k in group.keys() if k != index]))]
+    return pd.DataFrame({key: list(map(str, _column(group[index], a, b))), **{c: _column(group[c], a, b) for c in cols}})
+
+
+def _nonzeros(matrix: Any, kind: str, names: tuple[Any, Any], a: int, b: int) -> pd.DataFrame:
+    """``cell_id, gene_id, value`` of rows a to b of a stored matrix: cells, or genes where it is stored by genes."""
+    if kind == "dense":
+        block = np.asarray(matrix[a:b], float)
+        major, minor = np.nonzero(block)
+        value = block[major, minor]
+    else:
+        ends = np.asarray(matrix["indptr"][a : b + 1]).astype(np.int64)
+        minor, value = np.asarray(matrix["indices"][ends[0] : ends[-1]]), np.asarray(matrix["data"][ends[0] : ends[-1]], float)
+        major = np.repeat(np.arange(b - a), np.diff(ends))
+    own, other = names if kind != "genes" else names[::-1]
+    first, second = np.array(list(map(str, _texts(own[a:b]))), object)[major], np.array(list(map(str, _texts(other[:]))), object)[minor]
+    cell, gene = (first, second) if kind != "genes" else (second, first)
+    keep = (value != 0) & ~np.isnan(value)
+    return pd.DataFrame({"cell_id": cell[keep], "gene_id": gene[keep], "value": value[keep]})
+
+
+def _in_ranges(spark: SparkSession, n: int, read: Callable[[int, int], pd.DataFrame], schema: str) -> DataFrame:
+    """``read`` of every range of ``ROWS_AT_ONCE`` of n rows, each range in a task of its own."""
+    parts = max(1, -(-n // ROWS_AT_ONCE))
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in f["id"]:
+                yield read(int(i) * ROWS_AT_ONCE, min(n, (int(i) + 1) * ROWS_AT_ONCE))
+
+    return spark.range(parts, numPartitions=parts).mapInPandas(each, schema)
+
+
+def read_h5ad(spark: SparkSession, path: str) -> Experiment:
+    """An ``.h5ad`` file or a ``.zarr`` folder of the same layout, where ``h5py`` or ``zarr`` is installed and all tasks see the path.
+
+    Tasks read ranges of the matrix, whether it is dense or sparse, by cells or by genes, and of both tables; the driver
+    reads shapes and a first row only. ``layers`` and embeddings are read as the matrix is, columns keep their names.
+    """
+    root = _opened(path)
+    n = {name: _index(root[name]).shape[0] for name in ("obs", "var")}
+
+    def table(name: str, key: str) -> DataFrame:
+        head = _table_rows(root, name, key, 0, min(1, n[name]))
+        schema = spark.createDataFrame(head).schema if len(head) else StructType([StructField(c, StringType()) for c in head])
+        types = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema)
+        return _in_ranges(spark, n[name], lambda a, b: _table_rows(_opened(path), name, key, a, b), types)
+
+    def matrix(at: str) -> DataFrame:
+        sparse = hasattr(root[at], "keys")  # a group of arrays; a dense matrix is one array
+        how = {"csr_matrix": "cells", "csc_matrix": "genes"}[_texts([root[at].attrs["encoding-type"]])[0]] if sparse else "dense"
+
+        def read(a: int, b: int) -> pd.DataFrame:
+            own = _opened(path)
+            return _nonzeros(own[at], how, (_index(own["obs"]), _index(own["var"])), a, b)
+
+        return _in_ranges(spark, n["var" if how == "genes" else "obs"], read, "cell_id string, gene_id string, value double")
+
+    layers = {"X": matrix("X")} | {k: matrix(f"layers/{k}") for k in (root["layers"].keys() if "layers" in root else ())}
+
+    def vectors(at: str) -> DataFrame:
+        def read(a: int, b: int) -> pd.DataFrame:
+            own = _opened(path)
+            return pd.DataFrame({"cell_id": list(map(str, _texts(_index(own["obs"])[a:b]))), "vec": [list(map(float, r)) for r in np.asarray(own[at][a:b])]})
+
+        return _in_ranges(spark, n["obs"], read, "cell_id string, vec array<double>")
+
+    obsm = {k: vectors(f"obsm/{k}") for k in (root["obsm"].keys() if "obsm" in root else ()) if not hasattr(root[f"obsm/{k}"], "keys")}
+    return Experiment(table("obs", "cell_id"), table("var", "gene_id"), layers, obsm)
+
+
+read_zarr = read_h5ad
+
+
+def read_10x_h5(spark: SparkSession, path: str) -> Experiment:
+    """Counts of a 10x ``.h5`` file, where ``h5py`` is installed: barcodes × features, stored by barcodes; tasks read ranges."""
+    group = _opened(path)["matrix"]
+    n, genes = group["barcodes"].shape[0], group["features/id"].shape[0]
+
+    def values(a: int, b: int) -> pd.DataFrame:
+        own = _opened(path)["matrix"]
+        return _nonzeros(own, "cells", (own["barcodes"], own["features/name"]), a, b)
+
+    obs = _in_ranges(spark, n, lambda a, b: pd.DataFrame({"cell_id": _texts(_opened(path)["matrix/barcodes"][a:b])}), "cell_id string")
+    cols = {"gene_id": "name", "ensembl_id": "id", "feature_type": "feature_type"}
+    var = _in_ranges(spark, genes, lambda a, b: pd.DataFrame({c: _texts(_opened(path)[f"matrix/features/{k}"][a:b]) for c, k in cols.items()}), ", ".join(f"{c} string" for c in cols))
+    return Experiment(obs, var, {"X": _in_ranges(spark, n, values, "cell_id string, gene_id string, value double")})
 
 
 def read_visium(spark: SparkSession, path: str, *, counts_file: str, library_id: str | None = None) -> Experiment:

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import gzip
 import json
+import pickle
+import sys
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,76 @@ def test_stream_equals_table(spark, tmp_path):
     q.stop()
     want = sorted(map(tuple, windowed_stats(df, at="ts", keys=["k"], value="v").collect()))
     assert sorted(map(tuple, spark.table("w").collect())) == want
+
+
+FAKE = """
+import pickle
+
+
+class Group(dict):
+    def __init__(self, items=(), attrs=None):
+        super().__init__(items)
+        self.attrs = attrs or {}
+
+    def __getitem__(self, path):
+        node = self
+        for part in path.split("/"):
+            node = dict.__getitem__(node, part)
+        return node
+
+
+def File(path, mode):
+    with open(path, "rb") as f:
+        return pickle.load(f)
+"""
+
+
+@pytest.fixture
+def stored(spark, tmp_path, monkeypatch):
+    """A module in place of the HDF5 package, whose files are pickled groups; tasks import it too."""
+    (tmp_path / "h5py.py").write_text(FAKE)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    import h5py
+
+    monkeypatch.setattr(files, "ROWS_AT_ONCE", 3)
+    yield h5py.Group, lambda root, name: (tmp_path / name).write_bytes(pickle.dumps(root)) and str(tmp_path / name)
+    monkeypatch.delitem(sys.modules, "h5py")
+
+
+def compressed(x):
+    rows = [np.flatnonzero(r) for r in x]
+    return {"indptr": np.concatenate([[0], np.cumsum([len(r) for r in rows])]), "indices": np.concatenate(rows), "data": np.concatenate([r[i] for r, i in zip(x, rows, strict=True)])}
+
+
+@pytest.mark.parametrize("kind", ["csr_matrix", "csc_matrix", "array"])
+def test_stored_matrices_are_read_in_ranges(spark, stored, kind):
+    group, save = stored
+    x = np.random.default_rng(1).poisson(0.6, (8, 5)).astype(float)
+    cells, genes = [f"c{i}".encode() for i in range(8)], [f"g{i}".encode() for i in range(5)]
+    matrix = x if kind == "array" else group(compressed(x if kind == "csr_matrix" else x.T), {"encoding-type": kind})
+    batch = group({"categories": np.array([b"one", b"two"]), "codes": np.array([0, 1, -1, 0, 1, 1, 0, 0])})
+    obs = group({"name": np.array(cells), "n": np.arange(8), "batch": batch}, {"_index": "name", "column-order": ["n", "batch"]})
+    root = group({"X": matrix, "obs": obs, "var": group({"_index": np.array(genes)}, {"_index": "_index"}), "obsm": group({"X_pca": x[:, :2]}), "layers": group({"twice": 2 * x})})
+    exp = files.read_h5ad(spark, save(root, "a.h5ad"))
+    want = {(f"c{i}", f"g{j}", x[i, j]) for i, j in zip(*np.nonzero(x), strict=True)}
+    assert {tuple(r) for r in exp.layer().collect()} == want
+    assert {tuple(r) for r in exp.layer("twice").collect()} == {(c, g, 2 * v) for c, g, v in want}
+    assert [tuple(r) for r in exp.obs.orderBy("cell_id").collect()] == [(f"c{i}", i, [None, "one", "two"][c + 1]) for i, c in enumerate(batch["codes"])]
+    assert {r.cell_id: r.vec for r in exp.obsm["X_pca"].collect()} == {f"c{i}": list(x[i, :2]) for i in range(8)}
+    assert sorted(r.gene_id for r in exp.var.collect()) == [f"g{j}" for j in range(5)]
+
+
+def test_tenx_files(spark, stored, tmp_path):
+    group, save = stored
+    x = np.random.default_rng(2).poisson(0.8, (7, 4)).astype(float)
+    features = group({"id": np.array([b"E0", b"E1", b"E2", b"E3"]), "name": np.array([b"A", b"B", b"C", b"D"]), "feature_type": np.array([b"Gene Expression"] * 4)})
+    save(group({"matrix": group({**compressed(x), "barcodes": np.array([f"b{i}".encode() for i in range(7)]), "features": features})}), "counts.h5")
+    exp = files.read_counts(spark, str(tmp_path), "counts.h5")
+    assert {tuple(r) for r in exp.layer().collect()} == {(f"b{i}", "ABCD"[j], x[i, j]) for i, j in zip(*np.nonzero(x), strict=True)}
+    assert exp.obs.count() == 7 and {r.ensembl_id for r in exp.var.collect()} == {"E0", "E1", "E2", "E3"}
+
+
+def test_missing_packages_are_named(spark):
+    with pytest.raises(ModuleNotFoundError, match="zarr"):
+        files.read_zarr(spark, "/tmp/none.zarr")
