@@ -24,7 +24,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
-    assert compare(spark, con, FOLDER, name).startswith("ok")
+    """Results equal those of the SQL; a query without SQL is only run here, its operator has tests of its own."""
+    assert compare(spark, con, FOLDER, name).startswith("ok" if name in entry.oracle_sql() else "no SQL")
 
 
 def test_names():
