@@ -134,6 +134,11 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_clusters(_clusters(spark, sf_dir), _annotations(spark, sf_dir), "cell_id", "annotation", least=1)
 
 
+def p6_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and main annotation of every cluster."""
+    return p6_clusters(spark, sf_dir).select("lead_cell", "size", "main_label", "main_share")
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -192,7 +197,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_subset, p2_sample, p3_found, p3_sample, p3_report, p4_found, p4_top, p5_found, p5_percentiles, p5_loads, p6_found, p6_members, p6_clusters, p8_found,
+        p1_subset, p2_sample, p3_found, p3_sample, p3_report, p4_found, p4_top, p5_found, p5_percentiles, p5_loads, p6_found, p6_members, p6_clusters, p6_sizes, p8_found,
         p8_leaks, p9_found, p9_shares, p9_repeats, p9_order, p10_found, p10_pieces,
     )
 }
@@ -274,6 +279,9 @@ HAVING quantile_cont(CASE WHEN isfinite(total_counts) AND total_counts >= 0 THEN
  OR quantile_cont(CASE WHEN isfinite(pct_counts_mt) AND pct_counts_mt BETWEEN 0 AND 100 THEN pct_counts_mt END, 0.95) > 15""",
     "p6_found": f"{_CLUSTERS} SELECT root AS lead_cell, id AS cell_id FROM c WHERE root <> id",
     "p6_members": f"{_CLUSTERS} SELECT id AS cell_id, root AS lead_cell FROM c",
+    "p6_sizes": f"""{_CLUSTERS}, {_LAST}, l AS (SELECT root, a, count(*) AS n FROM c LEFT JOIN last ON cell_id = id GROUP BY ALL)
+SELECT root AS lead_cell, CAST(sum(n) OVER (PARTITION BY root) AS BIGINT) AS size, a AS main_label, round(n / sum(n) OVER (PARTITION BY root), 6) AS main_share FROM l
+QUALIFY row_number() OVER (PARTITION BY root ORDER BY n DESC, a NULLS FIRST) = 1""",
     "p9_found": f"""WITH d AS (SELECT {clean_source_sql('source')} AS source, sum({token_count_sql('text')}) AS n FROM documents GROUP BY 1),
  t AS (SELECT {clean_source_sql('source')} AS source, target_share, max_repeats FROM source_targets)
 SELECT t.source FROM t LEFT JOIN d USING (source)
