@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -991,8 +992,9 @@ def cells_search(spark: SparkSession, d: str) -> DataFrame:
     """The 15 nearest of all cells to every cell whose id is divisible by 50, by inverted lists."""
     v = ad.table(spark, d, "cell_scvi").where("cell_id IS NOT NULL").where(usable(F.col("x_scvi"), 30)).groupBy("cell_id").agg(F.min("x_scvi").alias("vec"))
     v = written(v)
-    index = nb.fit_lists(v, n_lists=64)
-    return nb.search_lists(v.where("cell_id % 50 = 0"), nb.listed(v, index), index, 15, probes=8)
+    lists = max(64, math.isqrt(v.count()) // 4)  # lists grow in number and in size as the table does
+    index = nb.fit_lists(v, n_lists=lists)
+    return nb.search_lists(v.where("cell_id % 50 = 0"), written(nb.listed(v, index)), index, 15, probes=max(8, math.isqrt(lists)))
 
 
 @query()
