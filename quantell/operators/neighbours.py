@@ -304,7 +304,8 @@ def smooth(values: DataFrame, graph: DataFrame) -> DataFrame:
 def spatial_graph(spots: DataFrame, bandwidth: float = 100, cutoff: float = 0.1, slide: str | None = None) -> DataFrame:
     """``src, dst, weight`` of spots ``(cell_id, x, y)``: Gaussian kernel, weights under the cutoff left out, self-loops kept.
 
-    Spots meet in grid cells as wide as the kernel's reach, and in the eight around them.
+    Spots meet in grid cells as wide as the kernel's reach, and in the eight around them, by a sorted join: to Spark's
+    statistics the nine copies of a spot are one row, so it would broadcast tables that the driver can't hold.
     """
     reach = float(bandwidth * np.sqrt(-2 * np.log(cutoff)))
     keys = [slide] if slide else []
@@ -312,7 +313,7 @@ def spatial_graph(spots: DataFrame, bandwidth: float = 100, cutoff: float = 0.1,
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     b = a.withColumn("s", F.explode(steps)).select(F.col("cell_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), *keys, (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"))
     d2 = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2
-    j = a.join(b, [*keys, "gx", "gy"]).withColumn("weight", F.exp(-d2 / (2 * bandwidth * bandwidth)))
+    j = a.join(b.hint("merge"), [*keys, "gx", "gy"]).withColumn("weight", F.exp(-d2 / (2 * bandwidth * bandwidth)))
     return j.where((F.col("weight") >= cutoff) | (F.col("cell_id") == F.col("dst"))).select(F.col("cell_id").alias("src"), "dst", "weight")
 
 

@@ -246,3 +246,12 @@ def test_plot_tests(spark):
     for test in ("t-test", "anova", "wilcoxon", "kruskal", "auto"):
         r = plot_tests.compare_groups(df, value="v", group="g", ctrl="a", groups=["b"], test=test, category="hue").first()
         assert r.hue == "h" and r.group == "b" and r.pval < 1e-6
+
+
+def test_spatial_graph_is_not_broadcast(spark, tmp_path):
+    points_ = spark.range(3000).select(F.col("id").alias("cell_id"), (F.col("id") % 50).cast("double").alias("x"), F.floor(F.col("id") / 50).cast("double").alias("y"))
+    points_.write.parquet(str(tmp_path / "spots"))
+    graph = nb.spatial_graph(spark.read.parquet(str(tmp_path / "spots")), 0.5)  # a small file, nine times as many rows
+    assert "Broadcast" not in graph._jdf.queryExecution().executedPlan().toString()
+    inner = graph.groupBy("src").count().where("src = 75").first()
+    assert inner["count"] == 5 and graph.where("src = dst").count() == 3000
