@@ -255,3 +255,22 @@ def test_spatial_graph_is_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in graph._jdf.queryExecution().executedPlan().toString()
     inner = graph.groupBy("src").count().where("src = 75").first()
     assert inner["count"] == 5 and graph.where("src = dst").count() == 3000
+
+
+def test_exact_neighbours_over_regions(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.gamma(2, 60, size=(2000, 3)), 2)
+    x = np.vstack([x, x, np.tile(x[:1], (700, 1)), 900 + x[:300] / 7])  # equal rows, more of them than a tile takes, and a far group
+    names = np.array([f"c{i:05d}" for i in rng.permutation(len(x))])
+    rows = spark.createDataFrame([(str(n), [float(v) for v in r]) for n, r in zip(names, x, strict=True)], "cell_id string, vec array<double>")
+    order = np.argsort(names)
+    x, names = x[order], names[order]
+    got = {}
+    for r in nb.knn(rows, None, 6, tile=300).collect():
+        got.setdefault(r.src, []).append((r.place, r.dst, r.dist))
+    assert len(got) == len(x)
+    for i in range(0, len(x), 7):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6)  # 0 between equal rows, whatever their length
+        d[i] = np.inf
+        near = np.argsort(d, kind="stable")[:6]
+        assert sorted(got[names[i]]) == [(p + 1, names[j], d[j]) for p, j in enumerate(near)]
