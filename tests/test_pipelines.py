@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import quantell.operators.communities as communities
 from quantell.experiment import Experiment, InputError
+from quantell.operators.neighbours import areas
 from quantell.operators.quality import doublet_scores, filter_cells_genes, highly_variable
 from quantell.operators.reduction import pcr
 from quantell.plans.pipelines import importer, integrate
@@ -77,6 +79,29 @@ def test_integration(spark, two_batches, method):
         integrate(two_batches, batch_key="batch", method="none")
 
 
+def test_integration_settles_in_blocks(spark, two_batches, monkeypatch):
+    """Links of more than a task are settled in blocks of areas, not in rounds over all links."""
+
+    def no_rounds(*_):
+        raise AssertionError("a level went to rounds over tables")
+
+    monkeypatch.setattr(communities, "TASK_LINKS", 1200)
+    monkeypatch.setattr(communities, "_Level", no_rounds)
+    out = integrate(two_batches, batch_key="batch", n_top=30, n_components=8, k=10)
+    assert out.obsp["connectivities"].count() > 1200
+    assert out.obs.where("cluster IS NULL").count() == 0
+    best = out.obs.groupBy("cluster", "kind").count().groupBy("cluster").agg(F.max("count").alias("n")).agg(F.sum("n")).first()[0]
+    assert best > 160, "clusters are of one kind"
+
+
+def test_areas(spark):
+    rows = [(i, [float(i % 50), float(i % 7)]) for i in range(2000)] + [(-1, None)]
+    a = {r.cell_id: r.area for r in areas(spark.createDataFrame(rows, "cell_id long, vec array<double>"), 300).collect()}
+    assert set(a) == set(range(2000)) and len(set(a.values())) > 4
+    by = [[i % 50 for i in a if a[i] == n] for n in range(max(a.values()) + 1)]
+    assert all(len(x) <= 350 and max(x) < min(y) for x, y in zip(by, by[1:]) if x and y)
+
+
 def test_variable_genes_and_doublets(spark, two_batches):
     h = highly_variable(two_batches, n_top=5, batch_key="batch")
     assert h.where("highly_variable").count() == 5 and h.count() == 30
