@@ -1,17 +1,20 @@
 from __future__ import annotations
 
 import gzip
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import quantell.operators.communities as communities
+import quantell.operators.neighbours as neighbours
 from quantell.experiment import Experiment, InputError
 from quantell.operators.neighbours import areas
 from quantell.operators.quality import doublet_scores, filter_cells_genes, highly_variable
 from quantell.operators.reduction import pcr
 from quantell.plans.pipelines import importer, integrate
+from quantell.plans.shared import written
 
 
 def folder(path, seed, cells=60, genes=12):
@@ -108,3 +111,33 @@ def test_variable_genes_and_doublets(spark, two_batches):
     d = doublet_scores(two_batches, layer="counts", rate=0.1)
     assert d.count() == 180 and {r.doublet_class for r in d.select("doublet_class").distinct().collect()} <= {"singlet", "doublet"}
     assert d.where("doublet_score < 0 OR doublet_score > 1").count() == 0
+
+
+def test_written_tables_leave_no_shuffled_files(spark):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {n for n in (str(f.getName()) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.getAllFiles())) if n.startswith("shuffle_")}
+    before = held()
+    t = written(spark.range(5000).withColumn("g", F.col("id") % 7).groupBy("g").agg(F.count("*").alias("n")))
+    for _ in range(50):  # files are deleted beside the driver's work
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before and t.count() == 7
+
+
+def test_doublet_scores_over_regions(spark, two_batches, monkeypatch):
+    at_once = {r.cell_id: r.doublet_score for r in doublet_scores(two_batches, layer="counts").collect()}
+    search = neighbours.near_lists
+    monkeypatch.setattr(neighbours, "near_lists", lambda *a, **b: search(*a, **b, tile=40))
+    assert {r.cell_id: r.doublet_score for r in doublet_scores(two_batches, layer="counts").collect()} == at_once and len(at_once) == 180
+    # as they were when all pairs were compared, from dense vectors
+    genes = sorted(r.gene_id for r in two_batches.layer("counts").select("gene_id").distinct().collect())
+    v = {r.cell_id: np.array(r.vec) for r in neighbours.dense_vectors(two_batches, genes, "counts").collect()}
+    turn = spark.createDataFrame([(c,) for c in v], two_batches.obs.select("cell_id").schema).select("cell_id", F.xxhash64("cell_id", F.lit(7)).alias("h"), F.pmod(F.xxhash64("cell_id", F.lit(11)), F.lit(64)).alias("n")).orderBy("n", "h", "cell_id").collect()
+    rows = {str(c): x for c, x in v.items()} | {f"sim-{a.cell_id}": v[a.cell_id] + v[b.cell_id] for a, b in zip(turn, turn[1:]) if a.n == b.n}
+    ids = sorted(rows)
+    x = np.array([np.log1p(rows[i] * 1e4 / max(rows[i].sum(), 1e-300)) for i in ids])
+    for c, score in at_once.items():
+        d = np.round(np.sqrt(((x - x[ids.index(str(c))]) ** 2).sum(1)), 6)
+        d[ids.index(str(c))] = np.inf
+        assert score == pytest.approx(np.mean([ids[j].startswith("sim-") for j in np.argsort(d, kind="stable")[:15]]))
